@@ -3,8 +3,9 @@
 A seed gives every example a place: the order of md5(seed:id). The first N places are the
 subset of size N, so subsets of one seed are nested. Places are counted per hash range:
 a histogram over ranges tells how many examples precede a range, ranks are needed only
-inside a range, and ranges beyond the largest N are never shuffled. A task that holds most
-of the rows is thus spread over many ranges.
+inside a range, and ranges beyond the largest N are never shuffled. While a needed range
+is too large for one task, the needed ranges are split again, so a task that holds most of
+the rows is spread over as many ranges as it takes.
 """
 
 from collections.abc import Sequence
@@ -14,40 +15,55 @@ from pyspark.sql import functions as F
 
 from curvekit.session import materialize
 
-RANGE_DIGITS = 2  # hex digits of the hash that name a range: 256 ranges per task and seed
+FIRST_DIGITS = 2  # hex digits of the hash that name a range: 256 ranges per task and seed
+MOST_DIGITS = 8
+RANGE_ROWS = 1_000_000  # a range of this many rows is ranked by one task
 
+GROUP = ["task", "seed"]
 
-def placed(examples: DataFrame, seeds: Sequence[int], largest: int) -> DataFrame:
+
+def _histogram(keyed: DataFrame) -> DataFrame:
+    """Rows per hash range and how many rows of the group precede it."""
+    upto = Window.partitionBy(*GROUP).orderBy("range")
+    before = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    return materialize(
+        keyed.groupBy(*GROUP, "range")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(before, F.lit(0))),
+        "hash-ranges",
+    )
+
+
+def placed(
+    examples: DataFrame, seeds: Sequence[int], largest: int, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Place (from 1) of every example per seed, up to `largest`, and the split size.
 
     `examples` has columns task and example_id. Returns task, seed, example_id, place,
-    split_size.
+    split_size. The histograms are written tables, so the planner knows their size and
+    broadcasts them to filter the scan only when they are small.
     """
+    digits = FIRST_DIGITS
     keyed = (
         examples.select("task", "example_id")
         .withColumn("seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])))
         .withColumn("hash", F.md5(F.concat_ws(":", "seed", "example_id")))
-        .withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
-    )
-    upto = Window.partitionBy("task", "seed").orderBy("range")
-    histogram = materialize(
-        keyed.groupBy("task", "seed", "range")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            "before", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        .withColumn("split_size", F.sum("n").over(Window.partitionBy("task", "seed")))
-        .select("task", "seed", "range", F.coalesce("before", F.lit(0)).alias("before"), "split_size"),
-        "hash-ranges",
+        .withColumn("range", F.substring("hash", 1, digits))
     )
-    within = Window.partitionBy("task", "seed", "range").orderBy("hash", "example_id")
+    ranges = _histogram(keyed)
+    sizes = ranges.groupBy(*GROUP).agg(F.sum("n").alias("split_size"))
+    needed = ranges.where(F.col("before") < largest)
+    while digits < MOST_DIGITS and (needed.agg(F.max("n")).first()[0] or 0) > range_rows:
+        digits += 2
+        keyed = keyed.join(needed.select(*GROUP, "range"), [*GROUP, "range"], "left_semi")
+        keyed = keyed.withColumn("range", F.substring("hash", 1, digits))
+        needed = _histogram(keyed).where(F.col("before") < largest)
+    within = Window.partitionBy(*GROUP, "range").orderBy("hash", "example_id")
     return (
-        keyed.join(histogram.where(F.col("before") < largest), ["task", "seed", "range"])
-        .withColumn("inner", F.row_number().over(within))
-        .where(F.col("inner") <= largest)
-        .withColumn("place", F.col("before") + F.col("inner"))
+        keyed.join(needed.join(sizes, GROUP).drop("n"), [*GROUP, "range"])
+        .withColumn("place", F.col("before") + F.row_number().over(within))
         .where(F.col("place") <= largest)
-        .select("task", "seed", "example_id", "place", "split_size")
+        .select(*GROUP, "example_id", "place", "split_size")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
 
-DOCUMENT_FITS = 10_000
+DOCUMENT_ENTRIES = 10_000
 FIT_FIELDS = (
     "method", "a", "b", "c", "r2", "n_points", "sample_sizes", "error_rates", "fitted_values",
 )
@@ -24,10 +24,6 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     results.select(*plain).write.option("header", True).csv(path)
 
 
-def _json_number(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit("null"))
-
-
 def fit_document(
     fits: DataFrame, crossovers: DataFrame, runs: DataFrame, order: str | None = None
 ) -> DataFrame:
@@ -35,36 +31,28 @@ def fit_document(
 
     The document is a single object with one entry per method, so only fits, keyed
     crossovers (pair, n_cross) and the list of methods are gathered; more than
-    `DOCUMENT_FITS` of them is an error, and such fits belong in a table (write_series).
+    `DOCUMENT_ENTRIES` of them is an error, and such fits belong in a table (write_series).
     Methods are listed in the order of their smallest `order` value.
     """
+    few = F.raise_error(F.lit("too many entries for one document; write them as a table"))
+
+    def gathered(rows) -> Column:
+        count = F.count(F.lit(1))
+        return F.when(count > DOCUMENT_ENTRIES, few).otherwise(F.sort_array(F.collect_list(rows)))
+
     place = F.min(order) if order else F.min("method")
-    per_method = (
-        runs.groupBy("method")
-        .agg(F.count(F.lit(1)).alias("n"), place.alias("place"))
-        .agg(
-            F.sum("n").alias("total_runs"),
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("method").isNotNull(), F.struct("place", "method")))
-                ),
-                lambda m: m["method"],
-            ).alias("methods"),
-        )
+    counted = runs.groupBy("method").agg(F.count(F.lit(1)).alias("n"), place.alias("place"))
+    named = F.when(F.col("method").isNotNull(), F.struct("place", "method"))
+    per_method = counted.agg(
+        F.sum("n").alias("total_runs"),
+        F.transform(gathered(named), lambda m: m["method"]).alias("methods"),
     )
     entry = F.struct(*FIT_FIELDS, F.array("se_a", "se_b", "se_c").alias("perr"))
-    few = F.raise_error(F.lit("too many fits for one document; write them as a table"))
     fitted = fits.where("a is not null").agg(
-        F.when(F.count(F.lit(1)) > DOCUMENT_FITS, few)
-        .otherwise(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("method"), entry.alias("fit")))))
-        )
-        .alias("fits")
+        F.map_from_entries(gathered(F.struct(F.col("method"), entry.alias("fit")))).alias("fits")
     )
     crossed = crossovers.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("pair", "n_cross")))).alias(
-            "crossovers"
-        )
+        F.map_from_entries(gathered(F.struct("pair", "n_cross"))).alias("crossovers")
     )
     one = [part.withColumn("one", F.lit(1)) for part in (fitted, crossed, per_method)]
     metadata = F.struct("total_runs", "methods", F.lit(fv.FORMULA).alias("formula"))

@@ -44,12 +44,15 @@ def drop_repeated_runs(runs: DataFrame, delay: str = "7 days") -> DataFrame:
     """Pass each run name once; names are forgotten `delay` after the newest start time.
 
     The bound keeps the state finite: it holds the runs of one delay, spread by name.
+    Names without a stamp have no time to be forgotten by and pass as they are.
     """
-    return (
-        runs.withColumn("started", started_at())
+    stamped = runs.withColumn("started", started_at())
+    unique = (
+        stamped.where("started is not null")
         .withWatermark("started", delay)
         .dropDuplicatesWithinWatermark(["run_dir"])
     )
+    return unique.unionByName(stamped.where("started is null"))
 
 
 def _start(

@@ -101,7 +101,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trainable_parameters",
         "trainable_percentage",
         F.col("l_shipdate").alias("started"),
-        F.col("l_tax").alias("learning_rate"),
+        F.col("o_orderdate").alias("ordered"),
+        F.nullif(F.col("l_tax") / 100, F.lit(0.0)).alias("learning_rate"),
         F.col("l_quantity").alias("num_train_epochs"),
         "l_orderkey",
         "l_linenumber",
@@ -192,3 +193,28 @@ def parameter_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("p_name", ending).alias("name"),
         F.col("p_size").cast("bigint").alias("numel"),
     )
+
+
+def run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records as nested JSON rows: one per event, its metrics from `props`."""
+    props = F.from_json("props", "map<string,bigint>")
+    purchase = F.col("event_type") == "purchase"
+    metrics = F.struct(
+        F.col("value").alias("eval_primary_metric"),
+        props["k"].alias("k"),
+        F.col("event_type").alias("note"),
+        F.when(purchase, F.lit(True)).alias("flag"),
+        F.when(purchase, -props["k"]).alias("seed"),
+    )
+    config = F.struct(
+        F.col("event_type").alias("method"),
+        F.col("user_id").alias("seed"),
+        F.when(F.col("event_type") != "error", 500).alias("train_subset_size"),
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), "event_id").alias("run_dir"),
+        config.alias("config"),
+        metrics.alias("eval_metrics"),
+        F.when(F.col("event_type") == "view", "f1").alias("primary_metric_name"),
+        F.col("event_type").alias("folder"),
+    )
