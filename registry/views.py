@@ -1,7 +1,6 @@
 """The given tables seen as the engine's inputs: runs, labelled text, predictions, ..."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from curvekit import fixed_values as fv
 
@@ -18,92 +17,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_method(position: int) -> Column:
-    first, *rest = TRUTH.items()
-    chosen = F.when(F.col("method") == first[0], F.lit(first[1][position]))
-    for method, facts in rest:
-        chosen = chosen.when(F.col("method") == method, F.lit(facts[position]))
-    return chosen
+def _by_method(values: dict) -> str:
+    cases = " ".join(f"when '{method}' then {value}" for method, value in values.items())
+    return f"case method {cases} end"
 
 
 def _line_runs(lineitem: DataFrame) -> DataFrame:
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    sizes = F.array(*[F.lit(n).cast("bigint") for n in fv.ENCODER_SIZES])
-    n = F.col("train_subset_size").cast("double")
-    error = _by_method(0) * F.pow(n, -_by_method(1)) + _by_method(2)
+    sizes = ", ".join(f"{n}L" for n in fv.ENCODER_SIZES)
+    error = _by_method(
+        {m: f"{a}D * pow(train_subset_size, -{b}D) + {c}D" for m, (a, b, c, _, _) in TRUTH.items()}
+    )
     return (
-        lineitem.withColumn(
-            "method",
-            F.when(flag == "A", "full_ft")
-            .when(flag == "R", "lora")
-            .when(status == "O", "bitfit")
-            .otherwise("topheavy_lora"),
+        lineitem.selectExpr(
+            "*",
+            "case when l_returnflag = 'A' then 'full_ft' when l_returnflag = 'R' then 'lora' "
+            "when l_linestatus = 'O' then 'bitfit' else 'topheavy_lora' end as method",
+            f"element_at(array({sizes}), l_linenumber) as train_subset_size",
+        )
+        .selectExpr(
+            "*",
+            f"1D - ({error}) + 0.1D * (l_discount - 0.05D) as primary_metric",
+            f"{_by_method({m: f'{t[3]}L' for m, t in TRUTH.items()})} as trainable_parameters",
+            f"{_by_method({m: f'{t[4]}D' for m, t in TRUTH.items()})} as trainable_percentage",
         )
-        .withColumn("train_subset_size", F.element_at(sizes, F.col("l_linenumber")))
-        .withColumn("primary_metric", 1 - error + 0.1 * (F.col("l_discount") - 0.05))
-        .withColumn("trainable_parameters", _by_method(3).cast("bigint"))
-        .withColumn("trainable_percentage", _by_method(4))
     )
 
 
 def method_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with what method-level queries need; reads lineitem only."""
-    return _line_runs(table(spark, sf_dir, "lineitem")).select(
+    return _line_runs(table(spark, sf_dir, "lineitem")).selectExpr(
         "method",
         "train_subset_size",
         "primary_metric",
         "trainable_parameters",
         "trainable_percentage",
-        F.when(F.col("l_quantity") > 36, "decoder").otherwise("encoder").alias("architecture"),
+        "if(l_quantity > 36, 'decoder', 'encoder') as architecture",
     )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole run rows: lineitem with its order (task) and customer (seed)."""
-    priority, segment = F.col("o_orderpriority"), F.col("c_mktsegment")
-    quantity = F.col("l_quantity")
-    joined = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    )
-    return _line_runs(joined).select(
-        F.concat_ws(
-            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("int"),
-        ).alias("run_dir"),
+    """Whole run rows: lineitem with its order (task) and customer (seed).
+
+    Neither side is hinted: the planner broadcasts orders or customers only below the
+    broadcast threshold, and adaptive execution splits an order that has very many lines.
+    """
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    joined = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(customers, "o_custkey")
+    return _line_runs(joined).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+        "date_format(l_shipdate, 'yyyyMMdd'), int(l_quantity)) as run_dir",
         "method",
-        F.when(quantity <= 12, "distilbert-base-uncased")
-        .when(quantity <= 24, "bert-base-uncased")
-        .when(quantity <= 36, "roberta-base")
-        .when(quantity <= 45, "Qwen/Qwen2.5-0.5B")
-        .otherwise("other/bert-large")
-        .alias("model_name"),
-        F.when(priority == "1-URGENT", "sst2")
-        .when(priority == "2-HIGH", "mrpc")
-        .when(priority == "3-MEDIUM", "cola")
-        .when(priority == "4-NOT SPECIFIED", "qnli")
-        .otherwise("rte")
-        .alias("task_name"),
-        F.when(segment == "AUTOMOBILE", 42)
-        .when(segment == "BUILDING", 123)
-        .when(segment == "FURNITURE", 456)
-        .when(segment == "HOUSEHOLD", 789)
-        .otherwise(1024)
-        .cast("bigint")
-        .alias("seed"),
+        "case when l_quantity <= 12 then 'distilbert-base-uncased' "
+        "when l_quantity <= 24 then 'bert-base-uncased' when l_quantity <= 36 then 'roberta-base' "
+        "when l_quantity <= 45 then 'Qwen/Qwen2.5-0.5B' else 'other/bert-large' end as model_name",
+        "case o_orderpriority when '1-URGENT' then 'sst2' when '2-HIGH' then 'mrpc' "
+        "when '3-MEDIUM' then 'cola' when '4-NOT SPECIFIED' then 'qnli' else 'rte' end as task_name",
+        "case c_mktsegment when 'AUTOMOBILE' then 42L when 'BUILDING' then 123L "
+        "when 'FURNITURE' then 456L when 'HOUSEHOLD' then 789L else 1024L end as seed",
         "train_subset_size",
-        F.when(priority == "2-HIGH", "f1")
-        .when(priority == "3-MEDIUM", "matthews_correlation")
-        .otherwise("accuracy")
-        .alias("primary_metric_name"),
+        "case o_orderpriority when '2-HIGH' then 'f1' when '3-MEDIUM' then 'matthews_correlation' "
+        "else 'accuracy' end as primary_metric_name",
         "primary_metric",
         "trainable_parameters",
         "trainable_percentage",
-        F.col("l_shipdate").alias("started"),
-        F.col("o_orderdate").alias("ordered"),
-        F.nullif(F.col("l_tax") / 100, F.lit(0.0)).alias("learning_rate"),
-        F.col("l_quantity").alias("num_train_epochs"),
+        "l_shipdate as started",
+        "o_orderdate as ordered",
+        "nullif(l_tax / 100, 0D) as learning_rate",
+        "l_quantity as num_train_epochs",
         "l_orderkey",
         "l_linenumber",
     )
@@ -114,13 +95,13 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(
-            F.col("lang").alias("task"),
-            F.when(F.col("toxic") == 1, "validation").otherwise("train").alias("split"),
-            F.col("doc_id").alias("example_id"),
-            F.col("text").alias("text_a"),
-            F.lit(None).cast("string").alias("text_b"),
-            F.col("quality").alias("label"),
+        .selectExpr(
+            "lang as task",
+            "if(toxic = 1, 'validation', 'train') as split",
+            "doc_id as example_id",
+            "text as text_a",
+            "string(null) as text_b",
+            "quality as label",
         )
     )
 
@@ -128,36 +109,24 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text pairs: a turn and the next one; the join key (conversation, turn) is unique."""
     turns = table(spark, sf_dir, "conversations")
-    following = turns.select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b")
-    )
-    return turns.join(following, ["conv_id", "turn"]).select(
-        "conv_id",
-        "turn",
-        F.col("text").alias("text_a"),
-        "text_b",
-        (F.col("role") == "user").cast("int").alias("label"),
+    following = turns.selectExpr("conv_id", "turn - 1 as turn", "text as text_b")
+    return turns.join(following, ["conv_id", "turn"]).selectExpr(
+        "conv_id", "turn", "text as text_a", "text_b", "int(role = 'user') as label"
     )
 
 
 def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted and true classes; one run per (language, source)."""
-    task = (
-        F.when(F.col("lang") == "en", "sst2")
-        .when(F.col("lang") == "fr", "mrpc")
-        .when(F.col("lang") == "de", "cola")
-        .otherwise("rte")
-    )
     return (
         table(spark, sf_dir, "documents")
-        .select("doc_id", "lang", "source", "n_chars")
         .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(
-            F.concat_ws("-", "lang", "source").alias("run_id"),
-            task.alias("task"),
-            F.col("doc_id").alias("example_id"),
-            F.col("quality").alias("label"),
-            (F.col("n_chars") > 500).cast("int").alias("pred"),
+        .selectExpr(
+            "concat_ws('-', lang, source) as run_id",
+            "case lang when 'en' then 'sst2' when 'fr' then 'mrpc' when 'de' then 'cola' "
+            "else 'rte' end as task",
+            "doc_id as example_id",
+            "quality as label",
+            "int(n_chars > 500) as pred",
             "lang",
             "source",
         )
@@ -165,10 +134,8 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("example_id"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
-        "label",
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id as example_id", "cast(slice(embedding, 1, 10) as array<double>) as logits", "label"
     )
 
 
@@ -176,45 +143,37 @@ def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id")
-        .select(
-            F.col("lang").alias("run_id"),
-            F.col("text").alias("generated"),
-            F.when(F.col("quality") == 1, "Es").otherwise("No").alias("expected"),
+        .selectExpr(
+            "lang as run_id", "text as generated", "if(quality = 1, 'Es', 'No') as expected"
         )
     )
 
 
 def parameter_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ending = F.when(F.col("p_size") % 2 == 0, ".bias").when(
-        F.col("p_size") % 3 == 0, ".bias_score"
-    ).otherwise(".weight")
-    return table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("model"),
-        F.concat("p_name", ending).alias("name"),
-        F.col("p_size").cast("bigint").alias("numel"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_brand as model",
+        "p_name || case when p_size % 2 = 0 then '.bias' when p_size % 3 = 0 then '.bias_score' "
+        "else '.weight' end as name",
+        "bigint(p_size) as numel",
     )
 
 
 def run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records as nested JSON rows: one per event, its metrics from `props`."""
-    props = F.from_json("props", "map<string,bigint>")
-    purchase = F.col("event_type") == "purchase"
-    metrics = F.struct(
-        F.col("value").alias("eval_primary_metric"),
-        props["k"].alias("k"),
-        F.col("event_type").alias("note"),
-        F.when(purchase, F.lit(True)).alias("flag"),
-        F.when(purchase, -props["k"]).alias("seed"),
-    )
-    config = F.struct(
-        F.col("event_type").alias("method"),
-        F.col("user_id").alias("seed"),
-        F.when(F.col("event_type") != "error", 500).alias("train_subset_size"),
-    )
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("run-"), "event_id").alias("run_dir"),
-        config.alias("config"),
-        metrics.alias("eval_metrics"),
-        F.when(F.col("event_type") == "view", "f1").alias("primary_metric_name"),
-        F.col("event_type").alias("folder"),
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr(
+            "*",
+            "from_json(props, 'map<string,bigint>')['k'] as k",
+            "event_type = 'purchase' as purchase",
+        )
+        .selectExpr(
+            "concat('run-', event_id) as run_dir",
+            "named_struct('method', event_type, 'seed', user_id, "
+            "'train_subset_size', if(event_type <> 'error', 500, null)) as config",
+            "named_struct('eval_primary_metric', value, 'k', k, 'note', event_type, "
+            "'flag', if(purchase, true, null), 'seed', if(purchase, -k, null)) as eval_metrics",
+            "if(event_type = 'view', 'f1', null) as primary_metric_name",
+            "event_type as folder",
+        )
     )
