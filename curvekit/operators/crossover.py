@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
 from curvekit.functions.numeric import power_law, sign_change_root, skip_nan
-from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_power_law
+from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_written_curve
 from curvekit.session import materialize
 
 
@@ -151,7 +151,7 @@ def crossover_spread(
         ),
         "leave-one-out-curves",
     )
-    fits = fit_power_law(curve, ["held_out", "method"], bounds)
+    fits = fit_written_curve(curve, ["held_out", "method"], bounds)
     found = crossovers(fits, ["held_out"], baseline)
     return (
         found.groupBy("method")

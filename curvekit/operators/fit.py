@@ -20,6 +20,7 @@ from curvekit.functions.numeric import bounded_line, power_law
 COARSE_STEPS = 192
 FINE_STEPS = 32
 SMALLEST_B = 1e-4
+POINTS_PER_TASK = 500  # each point is evaluated for COARSE_STEPS + 2 * FINE_STEPS values of b
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,9 @@ def _best_exponents(keys: str, bounds: Bounds) -> str:
             from ({_profile("coarse", keys, bounds)}) group by {keys}
         ), near as (
             select * from (
-                select *, explode(transform(sequence(-{FINE_STEPS}, {FINE_STEPS}),
-                    j -> b0 * exp(j * {fine!r}D))) as b
+                select /*+ shuffle_hash(start) */ *,
+                    explode(transform(sequence(-{FINE_STEPS}, {FINE_STEPS}),
+                        j -> b0 * exp(j * {fine!r}D))) as b
                 from points join start using ({keys})
             ) where b between {b_low!r}D and {b_high!r}D
         ), beside as (
@@ -100,15 +102,18 @@ def fit_power_law(
     curve: DataFrame,
     keys: Sequence[str] = ("method",),
     bounds: Bounds = SHIPPED_BOUNDS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One fit per group of a learning curve (columns keys, n, error).
 
     Returns keys, fit_status, a, b, c, r2, se_a, se_b, se_c, n_points and the arrays
     sample_sizes, error_rates, fitted_values. A group that cannot be fitted keeps its
-    row with null parameters and the reason in `fit_status`. Pass a materialized curve:
-    it is read once per step.
+    row with null parameters and the reason in `fit_status`; null keys are dropped. Pass a materialized curve:
+    it is read once per step. The points are spread over `partitions` (default: all cores)
+    by group; their bytes say little about the work, so the number is not left to AQE.
     """
-    cores = curve.sparkSession.sparkContext.defaultParallelism
+    partitions = partitions or curve.sparkSession.sparkContext.defaultParallelism
+    keys = list(keys)
     names = ", ".join(f"`{key}`" for key in keys)
     lines, errors = bounded_line(bounds.a, bounds.c)
     candidates = ", ".join(f"struct({ssr} as ssr, {a} as a, {c} as c)" for ssr, a, c in errors[1:])
@@ -123,7 +128,8 @@ def fit_power_law(
                 var_pop(w) * count(*) as sww, covar_pop(u, w) * count(*) as suw,
                 array_sort(collect_list(struct(n, error))) as points
             from (
-                select *, pow(n, -b) as u, pow(n, -b) * ln(n) as w
+                select /*+ shuffle_hash(exponents) */ *,
+                    pow(n, -b) as u, pow(n, -b) * ln(n) as w
                 from points left join exponents using ({names})
             ) group by {names}
         ), lines as (
@@ -153,10 +159,21 @@ def fit_power_law(
             if(a is null, null, transform(points, p -> {power_law("p.n")})) as fitted_values
         from solved
         """,
-        points=curve.select(*keys, "n", "error").repartition(cores, *keys),
+        points=curve.select(*keys, "n", "error").dropna(subset=keys).repartition(partitions, *keys),
     )
 
 
+def fit_written_curve(
+    curve: DataFrame,
+    keys: Sequence[str] = ("method",),
+    bounds: Bounds = SHIPPED_BOUNDS,
+) -> DataFrame:
+    """Fits of a curve that is a written table: counting it is cheap and sets the parallelism."""
+    tasks = math.ceil(curve.count() / POINTS_PER_TASK)
+    cores = curve.sparkSession.sparkContext.defaultParallelism
+    return fit_power_law(curve, keys, bounds, max(1, min(cores, tasks)))
+
+
 def fitted_curve(
     fits: DataFrame, keys: Sequence[str] = ("method",), points: int = fv.FITTED_CURVE_POINTS
 ) -> DataFrame:

@@ -110,10 +110,13 @@ def deduplicate(
 ) -> DataFrame:
     """Keep one run per configuration, by default the one with the last run name.
 
+    Runs of the same name are told apart by a hash of their values, so the choice is stable.
     Every map task already reduces a configuration to its best row, so even a
     configuration that holds most rows moves only one row per task.
     """
-    best_first = Window.partitionBy(*keys).orderBy(*(order or [F.col("run_dir").desc()]))
+    plain = [name for name, kind in runs.dtypes if "map<" not in kind and kind != "variant"]
+    ranking = order or [F.col("run_dir").desc(), F.xxhash64(*plain)]
+    best_first = Window.partitionBy(*keys).orderBy(*ranking)
     return (
         runs.withColumn("_rank", F.row_number().over(best_first))
         .where("_rank = 1")

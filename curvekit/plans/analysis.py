@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curvekit import fixed_values as fv
 from curvekit.operators.crossover import crossover_keys, crossovers
 from curvekit.operators.curves import learning_curve
-from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_power_law
+from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_written_curve
 from curvekit.operators.flatten import expand_metrics, flatten_runs, metric_names
 from curvekit.operators.series import figure_series
 from curvekit.session import materialize
@@ -47,13 +47,17 @@ def analyse(
     """Curves, fits and crossovers of every method within each `by` group."""
     keys = [*by, "method"]
     curve = materialize(learning_curve(runs, keys, metric=metric), "curve")
-    fits = materialize(fit_power_law(curve, keys, bounds), "fits")
+    fits = materialize(fit_written_curve(curve, keys, bounds), "fits")
     return Analysis(curve, fits, crossovers(fits, by, baseline))
 
 
 def aggregate_runs(
     spark: SparkSession, root: str, files: str = RUN_FILES, one_per_file: bool = True
 ) -> DataFrame:
-    """Run files to the results table with one column per metric."""
-    flat = flatten_runs(scan_runs(spark, root, files, one_per_file))
+    """Run files to the results table with one column per metric.
+
+    The files are parsed once: finding the metric names and building the columns both
+    read the written flat table.
+    """
+    flat = materialize(flatten_runs(scan_runs(spark, root, files, one_per_file)), "flat-runs")
     return expand_metrics(flat, metric_names(flat, "source_file"))

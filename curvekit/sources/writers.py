@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
+from curvekit.session import materialize
 
 DOCUMENT_ENTRIES = 10_000
 FIT_FIELDS = (
@@ -76,9 +77,9 @@ def write_fit_document(document: DataFrame, path: str) -> None:
 def write_run_records(records: DataFrame, root: str, run: str = "run_dir") -> None:
     """Config and metrics of every run as JSON, one folder per run under two trees.
 
-    Rows are first spread by run, so a run's folder gets one file.
+    The records are computed once and spread by run, so a run's folder gets one file.
     """
-    spread = records.repartition(run).withColumn("run_id", F.col(run))
+    spread = materialize(records.withColumn("run_id", F.col(run)), "records").repartition("run_id")
     spread.select("run_id", "config.*").write.partitionBy("run_id").json(f"{root}/config")
     spread.select(
         "run_id", *sorted(c for c in spread.columns if c != "run_id")

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from curvekit.operators.crossover import crossovers
 from curvekit.operators.curves import learning_curve
-from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_power_law
+from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_written_curve
 from curvekit.operators.flatten import flatten_runs, with_numeric_metrics
 from curvekit.schema import RUN_RECORD
 from curvekit.session import materialize
@@ -90,7 +90,7 @@ def maintain_fits(
 
     def refit(curve: DataFrame, batch: int) -> None:
         snapshot = materialize(curve, "curve-snapshot")
-        fits = materialize(fit_power_law(snapshot, bounds=bounds), "fits-snapshot")
+        fits = materialize(fit_written_curve(snapshot, bounds=bounds), "fits-snapshot")
         found = crossovers(fits).select("method", "n_cross")
         fits.select("method", "fit_status", "a", "b", "c", "r2").join(
             found, "method", "left"
