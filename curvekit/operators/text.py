@@ -93,10 +93,14 @@ def pair_budget(x: str, y: str, budget: int) -> tuple[str, str]:
 def encode_pair(
     pairs: DataFrame, text_a: str = "text_a", text_b: str = "text_b", max_length: int = 256
 ) -> DataFrame:
-    """Tokens of a text pair under one length budget, with segment numbers 0 and 1."""
+    """Tokens of a text pair under one length budget, with segment numbers 0 and 1.
+
+    A null second text leaves the whole budget to the first.
+    """
+    second = F.coalesce(tokens(text_b), F.array().cast("array<string>"))
     keep_a, keep_b = pair_budget("size(_a)", "size(_b)", max_length)
     return (
-        pairs.withColumns({"_a": tokens(text_a), "_b": tokens(text_b)})
+        pairs.withColumns({"_a": tokens(text_a), "_b": second})
         .withColumns({"kept_a": F.expr(keep_a), "kept_b": F.expr(keep_b)})
         .withColumns(
             {

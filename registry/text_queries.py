@@ -6,6 +6,7 @@ from curvekit import fixed_values as fv
 from curvekit.operators import flatten as P1
 from curvekit.operators import sampling as D
 from curvekit.operators import text as TX
+from curvekit.plans.datasets import decoder_datasets, encoder_datasets
 from curvekit.session import scratch_path
 from curvekit.sources import readers
 from registry import check_sql as S
@@ -191,12 +192,75 @@ def pad_and_mask(spark, sf):
     )
 
 
+def _spelled(df):
+    """Array columns as text, so that they can be compared."""
+    return df.select(
+        *[F.array_join(c, " ").alias(c) if "array" in kind else c for c, kind in df.dtypes]
+    )
+
+
 @query(
     "p4_model_input_columns",
-    f"""WITH {TOKENISED} SELECT label, array_to_string(ids, ' ') AS input_ids, count(*) AS n_examples
-    FROM tokenised GROUP BY ALL""",
+    f"WITH {TOKENISED} SELECT label, array_to_string(ids, ' ') AS input_ids FROM tokenised",
 )
 def model_input_columns(spark, sf):
-    kept = P1.keep_model_inputs(_tokenised(spark, sf))
-    names = [F.array_join(c, " ").alias(c) if c == "input_ids" else c for c in kept.columns]
-    return kept.groupBy(*names).agg(F.count(F.lit(1)).alias("n_examples"))
+    return _spelled(P1.keep_model_inputs(_tokenised(spark, sf)))
+
+
+@query(
+    "p4_drop_originals",
+    f"""WITH {TOKENISED} SELECT example_id, n_tokens, n_tokens > {LENGTH} AS was_truncated,
+      array_to_string(ids, ' ') AS input_ids FROM tokenised""",
+)
+def drop_originals(spark, sf):
+    examples = V.labelled_text(spark, sf)
+    originals = [c for c in examples.columns if c != "example_id"]
+    return _spelled(P1.drop_originals(TX.tokenise(examples, "text_a", LENGTH), originals))
+
+
+@query(
+    "prepare_encoder_sets",
+    f"""WITH {RANKED}, sets AS (
+      SELECT 'train' AS part, example_id FROM ranked WHERE seed = 456 AND place <= 200
+      UNION ALL SELECT 'validation', example_id FROM texts WHERE split = 'validation'),
+    tokenised AS (SELECT *, {WORDS}[1:{LENGTH}] AS ids FROM texts JOIN sets USING (example_id))
+    SELECT part, example_id, label, array_to_string(ids, ' ') AS input_ids,
+      rtrim(repeat('1 ', len(ids))) AS attention_mask, rtrim(repeat('0 ', len(ids))) AS token_type_ids
+    FROM tokenised""",
+)
+def prepare_encoder_sets(spark, sf):
+    examples = V.labelled_text(spark, sf)
+    train, evaluation = encoder_datasets(examples, 456, 200, LENGTH, keep=("example_id",))
+    both = train.withColumn("part", F.lit("train")).unionByName(
+        evaluation.withColumn("part", F.lit("validation"))
+    )
+    return _spelled(both)
+
+
+@query(
+    "prepare_decoder_sets",
+    f"""WITH {PROMPTED}, ranked AS (
+      SELECT example_id, row_number() OVER (PARTITION BY CASE WHEN task IN ('en', 'fr') THEN task END
+        ORDER BY md5('456:' || example_id), example_id) AS place
+      FROM texts WHERE split = 'train'), sets AS (
+      SELECT 'train' AS part, example_id FROM ranked WHERE place <= 100
+      UNION ALL SELECT 'validation', example_id FROM texts WHERE split = 'validation'),
+    tokenised AS (
+      SELECT part, example_id, label, label_text,
+        regexp_extract_all(prompt || ' ' || label_text, {SPLIT}) AS words
+      FROM prompted JOIN sets USING (example_id))
+    SELECT part, example_id, CAST(len(words) AS INTEGER) AS n_tokens, len(words) > {LENGTH} AS was_truncated,
+      CASE WHEN label_text IS NULL THEN 'no word for label ' || label END AS violation,
+      array_to_string(words[1:{LENGTH}], ' ') || repeat(' <pad>', {LENGTH} - len(words)) AS input_ids,
+      rtrim(repeat('1 ', least(len(words), {LENGTH})) || repeat('0 ', {LENGTH} - len(words))) AS attention_mask,
+      array_to_string(words[1:{LENGTH}], ' ') || repeat(' <pad>', {LENGTH} - len(words)) AS labels
+    FROM tokenised""",
+)
+def prepare_decoder_sets(spark, sf):
+    task = F.when(F.col("task") == "en", "sst2").when(F.col("task") == "fr", "cola").otherwise("rte")
+    examples = V.labelled_text(spark, sf).withColumn("task", task)
+    train, evaluation = decoder_datasets(examples, 456, 100, LENGTH, keep=("example_id",))
+    both = train.withColumn("part", F.lit("train")).unionByName(
+        evaluation.withColumn("part", F.lit("validation"))
+    )
+    return _spelled(both)

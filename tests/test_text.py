@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from curvekit.operators import flatten as P1
 from curvekit.operators import sampling as D
 from curvekit.operators import text as TX
+from curvekit.plans.datasets import decoder_datasets, encoder_datasets
 from curvekit.sources import readers
 
 
@@ -132,3 +133,28 @@ def test_read_labelled_text_prunes_partitions(spark, folder):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(task" in plan
     assert D.evaluation_split(df).select(F.sum("example_id")).first()[0] == 2
+
+
+def test_datasets_of_one_experiment(spark):
+    rows = [("sst2", "train", i, f"text {i}", None, i % 2) for i in range(20)]
+    rows += [("mrpc", "train", 100 + i, "a b c", "d e", 1) for i in range(3)]
+    rows += [("sst2", "validation", 200, "one two three", None, 5)]
+    examples = spark.createDataFrame(
+        rows, "task string, split string, example_id bigint, text_a string, text_b string, label int"
+    )
+    train, evaluation = encoder_datasets(examples, 1, 5, 4, keep=("task",))
+    assert set(train.columns) == {"task", "label", "input_ids", "attention_mask", "token_type_ids"}
+    by_task = {"sst2": 0, "mrpc": 0}
+    for row in train.collect():
+        by_task[row.task] += 1
+        if row.task == "mrpc":
+            assert (row.input_ids, row.token_type_ids) == (["a", "b", "d", "e"], [0, 0, 1, 1])
+        assert row.attention_mask == [1] * len(row.input_ids)
+    assert by_task == {"sst2": 5, "mrpc": 3}
+    assert evaluation.first().input_ids == ["one", "two", "three"]
+    train, evaluation = decoder_datasets(examples, 1, 5, 40)
+    assert set(train.columns) == {
+        "input_ids", "attention_mask", "labels", "n_tokens", "was_truncated", "violation"}
+    assert train.count() == 8 and {len(r.input_ids) for r in train.collect()} == {40}
+    row = evaluation.first()
+    assert (row.input_ids, row.violation) == (None, "no word for label 5")
