@@ -25,6 +25,17 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     results.select(*plain).write.option("header", True).csv(path)
 
 
+def write_results_table(
+    results: DataFrame, path: str, by: Sequence[str] = ("architecture", "method")
+) -> None:
+    """Results as Parquet in one folder per architecture and method.
+
+    Reading one method (`where method = …`) then opens only its folders. Rows are not
+    shuffled: a method with most of the runs is written by all tasks.
+    """
+    results.write.partitionBy(*by).parquet(path)
+
+
 def fit_document(
     fits: DataFrame, crossovers: DataFrame, runs: DataFrame, order: str | None = None
 ) -> DataFrame:
@@ -45,7 +56,7 @@ def fit_document(
     counted = runs.groupBy("method").agg(F.count(F.lit(1)).alias("n"), place.alias("place"))
     named = F.when(F.col("method").isNotNull(), F.struct("place", "method"))
     per_method = counted.agg(
-        F.sum("n").alias("total_runs"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_runs"),
         F.transform(gathered(named), lambda m: m["method"]).alias("methods"),
     )
     entry = F.struct(*FIT_FIELDS, F.array("se_a", "se_b", "se_c").alias("perr"))

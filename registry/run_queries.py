@@ -6,6 +6,7 @@ from curvekit import fixed_values as fv
 from curvekit.operators import config as P
 from curvekit.operators import flatten as P1
 from curvekit.operators import grid as E
+from curvekit.operators.curves import learning_curve
 from curvekit.plans.analysis import aggregate_runs
 from curvekit.session import scratch_path
 from curvekit.sources import readers, writers
@@ -342,6 +343,19 @@ def keep_one_run(spark, sf):
     return kept.select(*LINE_KEY, "run_dir", "method")
 
 
+@query(
+    "f1_one_method_from_its_folder",
+    f"""WITH {S.RUNS}, tagged AS (SELECT *, {TAG} AS architecture FROM runs)
+    SELECT architecture, CAST(train_subset_size AS DOUBLE) AS n, {r("avg(primary_metric)")} AS mean,
+      count(*) AS cnt FROM tagged WHERE method = 'bitfit' GROUP BY architecture, train_subset_size""",
+)
+def one_method_from_its_folder(spark, sf):
+    path = scratch_path(spark, "results-table")
+    writers.write_results_table(_tagged(spark, sf).select(*P1.RESULT_FIELDS, "architecture"), path)
+    bitfit = spark.read.parquet(path).where("method = 'bitfit'")
+    return rounded(learning_curve(bitfit, ["architecture"]).drop("std", "error"))
+
+
 @query(
     "e4_run_counts",
     f"""WITH {S.RUNS} SELECT coalesce({TAG}, 'all') AS architecture, count(*) AS n_runs FROM runs GROUP BY 1

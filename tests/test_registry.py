@@ -64,3 +64,8 @@ def test_off_grid_runs_are_filtered_without_a_shuffle_of_their_own(spark):
         [("lora", "m", "t", 50, 1)],
         "method string, model_name string, task_name string, train_subset_size bigint, seed bigint")
     assert "Exchange hashpartitioning" not in plan(off_grid_runs(runs))
+
+
+def test_one_method_opens_only_its_folders(spark):
+    text = plan(entry.queries()["f1_one_method_from_its_folder"](spark, SF_DIR))
+    assert "PartitionFilters: [" in text and "(method" in text.split("PartitionFilters: [")[1].split("]")[0]

@@ -127,6 +127,8 @@ def test_fit_document_round_trip(spark, folder):
     none = writers.fit_document(fits.where("false"), crossed.where("false"), runs, "at")
     empty = json.loads(none.first().value)
     assert (empty["fits"], empty["crossovers"]) == ({}, {})
+    nothing = writers.fit_document(fits.where("false"), crossed.where("false"), runs.where("false"))
+    assert json.loads(nothing.first().value)["metadata"]["total_runs"] == 0
 
 
 def test_records_written_per_run_are_scanned_again(spark, folder):
