@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
@@ -22,17 +22,18 @@ def with_baseline(
 ) -> DataFrame:
     """Pair every other fit with the baseline fit of its group, as structs fit and base.
 
-    `fits` has one row per method and group, so a group of the window is as long as the
-    list of methods; groups without a usable baseline give no row.
+    `fits` has one baseline row per group and is best a written table, for it is read
+    twice. Without groups that row is a scalar; with groups it is joined by them. Groups
+    without a usable baseline give no row.
     """
-    fit = F.struct("a", "b", "c")
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    return (
-        fits.where(F.col("a").isNotNull())
-        .select(*by, "method", fit.alias("fit"))
-        .withColumn("base", F.max(F.when(F.col("method") == baseline, F.col("fit"))).over(group))
-        .where((F.col("method") != baseline) & F.col("base").isNotNull())
+    usable = fits.where(F.col("a").isNotNull()).select(
+        *by, "method", F.struct("a", "b", "c").alias("fit")
     )
+    base = usable.where(F.col("method") == baseline).select(*by, F.col("fit").alias("base"))
+    others = usable.where(F.col("method") != baseline)
+    if by:
+        return others.join(base, list(by))
+    return others.withColumn("base", base.scalar()).where(F.col("base").isNotNull())
 
 
 def crossovers(
@@ -151,7 +152,9 @@ def crossover_spread(
         ),
         "leave-one-out-curves",
     )
-    fits = fit_written_curve(curve, ["held_out", "method"], bounds)
+    fits = materialize(
+        fit_written_curve(curve, ["held_out", "method"], bounds), "leave-one-out-fits"
+    )
     found = crossovers(fits, ["held_out"], baseline)
     return (
         found.groupBy("method")
