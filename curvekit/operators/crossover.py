@@ -33,7 +33,13 @@ def with_baseline(
     others = usable.where(F.col("method") != baseline)
     if by:
         return others.join(base, list(by))
-    return others.withColumn("base", base.scalar()).where(F.col("base").isNotNull())
+    # Exploding a one-element array keeps the scalar from being copied into every use of it.
+    return (
+        others.withColumn("bases", F.array(base.scalar()))
+        .withColumn("base", F.explode("bases"))
+        .drop("bases")
+        .where(F.col("base").isNotNull())
+    )
 
 
 def crossovers(

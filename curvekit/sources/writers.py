@@ -66,19 +66,12 @@ def fit_document(
     crossed = crossovers.agg(
         F.map_from_entries(gathered(F.struct("pair", "n_cross"))).alias("crossovers")
     )
-    one = [part.withColumn("one", F.lit(1)) for part in (fitted, crossed, per_method)]
-    metadata = F.struct("total_runs", "methods", F.lit(fv.FORMULA).alias("formula"))
-    return (
-        one[0]
-        .join(one[1], "one")
-        .join(one[2], "one")
-        .select(
-            F.to_json(
-                F.struct("fits", "crossovers", metadata.alias("metadata")),
-                {"ignoreNullFields": "false"},
-            ).alias("value")
-        )
+    facts = per_method.select(
+        F.struct("total_runs", "methods", F.lit(fv.FORMULA).alias("formula"))
     )
+    whole = fitted.withColumns({"crossovers": crossed.scalar(), "metadata": facts.scalar()})
+    document = F.struct("fits", "crossovers", "metadata")
+    return whole.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_fit_document(document: DataFrame, path: str) -> None:
