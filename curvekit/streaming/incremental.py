@@ -41,18 +41,18 @@ def started_at(run_dir: str = "run_dir"):
 
 
 def drop_repeated_runs(runs: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Pass each run name once; names are forgotten `delay` after the newest start time.
+    """Pass each run name once; a name is forgotten `delay` after it arrived.
 
-    The bound keeps the state finite: it holds the runs of one delay, spread by name.
-    Names without a stamp have no time to be forgotten by and pass as they are.
+    The state holds the names of one delay, spread by name. It is timed by arrival, not by
+    the stamp in the name: no run is ever late, so an old run that is uploaded today is
+    kept, and a copy that comes after the delay is let through rather than lost.
     """
-    stamped = runs.withColumn("started", started_at())
-    unique = (
-        stamped.where("started is not null")
-        .withWatermark("started", delay)
+    return (
+        runs.withColumns({"started": started_at(), "arrived": F.current_timestamp()})
+        .withWatermark("arrived", delay)
         .dropDuplicatesWithinWatermark(["run_dir"])
+        .drop("arrived")
     )
-    return unique.unionByName(stamped.where("started is null"))
 
 
 def _start(

@@ -53,8 +53,7 @@ def streaming_curve(spark, sf):
 def streaming_unique_runs(spark, sf):
     target, checkpoint = scratch_path(spark, "stream-unique"), scratch_path(spark, "stream-state")
     runs = _stream(spark, sf).select("run_dir")
-    # The stamps are random dates over years, so only a delay of years makes no run late.
-    unique = W.drop_repeated_runs(runs, "36500 days")
+    unique = W.drop_repeated_runs(runs)
     W.append_runs(unique, target, checkpoint, drain=True).awaitTermination()
     started = F.date_format("started", "yyyy-MM-dd")
     return spark.read.parquet(target).select("run_dir", started.alias("started"))

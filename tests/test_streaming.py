@@ -45,7 +45,17 @@ def test_repeated_runs_pass_once(spark, folder):
     unique = W.drop_repeated_runs(W.stream_runs(spark, root).select("run_dir"))
     W.append_runs(unique, target, state, drain=True).awaitTermination()
     got = sorted(r.run_dir for r in spark.read.parquet(target).collect())
-    assert got == sorted([*names, "no_stamp"])
+    assert got == sorted(names)
+    # A copy and an old run arrive later: the copy is known, the old run is not late.
+    add_run(root, "again", "lora", 50, 0.5)
+    json.dump({"run_dir": names[0]}, open(f"{root}/again/metrics.json", "w"))
+    add_run(root, "t__m__lora__seed3__19990101_000000", "lora", 50, 0.5)
+    unique = W.drop_repeated_runs(W.stream_runs(spark, root).select("run_dir"))
+    W.append_runs(unique, target, state, drain=True).awaitTermination()
+    rows = {r.run_dir: r.started for r in spark.read.parquet(target).collect()}
+    assert sorted(rows) == sorted([*names, "t__m__lora__seed3__19990101_000000"])
+    assert spark.read.parquet(target).count() == 4
+    assert rows["no_stamp"] is None and rows[names[0]].year == 2024
 
 
 def test_refit_after_each_arrival(spark, folder):
