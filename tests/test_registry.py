@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from registry.catalog import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 
@@ -17,7 +18,7 @@ def db():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_check_sql(spark, db, name):
     same, count, _, note = compare(spark, db, SF_DIR, name)
     assert same, note
@@ -25,7 +26,7 @@ def test_query_equals_check_sql(spark, db, name):
 
 
 def test_every_query_has_check_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
@@ -36,7 +37,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_joins(spark, name):
     if name.startswith("w"):
         pytest.skip("writes its result while streaming")
