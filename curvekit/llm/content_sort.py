@@ -10,6 +10,9 @@ from curvekit.llm.common import SPACE, slices
 from curvekit.session import materialize
 
 
+HEAD_CHARS = 16
+
+
 def normalised(text: Column | str) -> Column:
     """The text with every run of white space as one space; null is empty."""
     return F.coalesce(F.regexp_replace(text, SPACE + "+", " "), F.lit(""))
@@ -45,22 +48,27 @@ def _out(ids, shas, part, runs, leads, edges, is_row):
 def group_equal_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Spark samples splitters over (normalised text, key), deals the rows into ranges and sorts
-    each on disk where needed; the key in the sort order lets a large group of copies span
-    many ranges. Each range is scanned once, comparing neighbours as whole texts. A run that
+    Spark samples splitters over (head of the normalised text, its digest, key), deals the rows
+    into ranges and sorts each on disk where needed. Head and digest order whole contents, yet
+    a splitter that goes through the driver stays short however long the texts are; the key
+    in the order lets a large group of copies span many ranges. Each range is scanned once, comparing neighbours as whole texts. A run that
     goes on in the next range is joined to it by comparing the two texts at the border. The
     smallest key of a run is its first row.
 
     Null texts equal empty ones. A null key counts as the largest; of rows repeated with the
     same key and text one is kept. An empty table gives no rows. Other columns are not read.
     """
-    norm = normalised(text)
+    order = ["head", "digest", "last", "doc_id"]
     dealt = (
-        docs.select(F.col(key).cast("long").alias("doc_id"), norm.alias("norm"))
-        .withColumn("last", F.col("doc_id").isNull())
-        .repartitionByRange("norm", "last", "doc_id")
-        .sortWithinPartitions("norm", "last", "doc_id")
-        .select("doc_id", "norm", F.sha2("norm", 256).alias("sha"))
+        docs.select(F.col(key).cast("long").alias("doc_id"), normalised(text).alias("norm"))
+        .withColumns({
+            "head": F.substring("norm", 1, HEAD_CHARS),
+            "digest": F.unhex(F.sha2("norm", 256)),
+            "last": F.col("doc_id").isNull(),
+        })
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "norm", F.lower(F.hex("digest")).alias("sha"))
     )
     found = materialize(
         dealt.mapInArrow(

@@ -2,21 +2,57 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curvekit.llm import content_sort, cube, rendezvous
+from curvekit.llm import bayes, content_sort, cube, fertility, frames, main_text, pieces, rendezvous, secrets
+from curvekit.session import scratch_path
 
 SHARDS = 8
+END_ID = 2
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each whole text and the text decoded from them, as digests."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    return pieces.digests(encoded, PIECES)
+
+
+def op2_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.main_texts(pages, main_text.fit_weights(pages))
+
+
+def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = secrets.random_strings(spark).union(secrets.ordinary_strings(docs))
+    return secrets.find_secrets(docs, secrets.train(samples))
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op8_frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    frames.write_ids(table(spark, sf_dir, "documents"), path, BYTE_BPE, END_ID)
+    return frames.read_digests(spark, path)
+
+
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cube.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -27,7 +63,13 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": op1_pieces,
+    "op2_site_bayes": op2_site_bayes,
+    "op3_fertility_rules": op3_fertility_rules,
+    "op5_main_text": op5_main_text,
+    "op6_secret_spans": op6_secret_spans,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_frame_files": op8_frame_files,
     "op9_cube_mix": op9_cube_mix,
     "op10_content_sort": op10_content_sort,
 }
