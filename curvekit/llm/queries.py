@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curvekit.llm import bayes, content_sort, cube, fertility, frames, main_text, pieces, rendezvous, secrets
+from curvekit.llm import bayes, content_sort, cube, fertility, frames, jaccard, main_text, pieces, rendezvous, secrets
 from curvekit.session import scratch_path
 
 SHARDS = 8
@@ -32,6 +32,10 @@ def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return main_text.main_texts(pages, main_text.fit_weights(pages))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_site_bayes": op2_site_bayes,
     "op3_fertility_rules": op3_fertility_rules,
+    "op4_jaccard_classes": op4_jaccard_classes,
     "op5_main_text": op5_main_text,
     "op6_secret_spans": op6_secret_spans,
     "op7_rendezvous_shards": op7_rendezvous_shards,
