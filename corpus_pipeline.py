@@ -1,10 +1,95 @@
-"""The corpus pipeline: rule filter, exact and near duplicates, source mix, tokens."""
+"""The corpus pipeline: quality rules, exact and near duplicates, source mix, tokens.
+
+Stages take and return rows of documents, whatever further columns these have; the last
+one returns the pieces' ids. A row is named by the hash of its columns, so null and repeated
+doc_ids are no matter. Each stage's rows are written and read again before the next one.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curvekit.llm import content_sort, cube, fertility, jaccard, pieces
+from curvekit.llm.queries import PIECES
+from curvekit.session import materialize
+
+ROW = "_row"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _only(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """The named rows that are in `rows`, without their name."""
+    return named.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rules and the fertility bands accept."""
+    named = _named(docs)
+    kept = fertility.judge(named, PIECES, key=ROW).where("kept")
+    return _only(named, kept.select(F.col("doc_id").alias(ROW)))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the smallest doc_id."""
+    kept = content_sort.group_equal_texts(docs).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
+    )
+    marked = docs.withColumn("_digest", F.sha2(content_sort.normalised("text"), 256))
+    same = (F.col("_digest") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # A text that repeats under one doc_id would pass as often as it repeats.
+    return marked.join(kept, same, "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of similar texts: the smallest doc_id."""
+    named = _named(docs)
+    found = jaccard.similar_documents(named, key=ROW).select(
+        F.col("doc_id").alias(ROW), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")
+    )
+    ids = named.select(ROW, F.col("doc_id").alias("_id"))
+    stays = (
+        ids.join(found, ROW)
+        .groupBy(F.coalesce("group", ROW).alias("group"))
+        .agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", ROW)).alias("x"))
+        .select(f"x.{ROW}")
+    )
+    return _only(named, stays)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    unit = cube.row_key(["doc_id", "text", "source"])
+    taken = cube.mix(docs).where("copies > 0").select("unit", "copies").distinct()
+    return (
+        docs.withColumn("unit_", unit)
+        .join(taken, F.col("unit_") == F.col("unit"))
+        .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select(*[f"`{c}`" for c in docs.columns])
+    )
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids of the whole text's pieces and their number."""
+    return pieces.encode(docs, PIECES).withColumn("n_pieces", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mix sources", mix_sources),
+    ("SentencePiece", encode),
+]
 
-STAGES = []
+#: Fertility, balanced draws and Viterbi paths are beyond SQL; tests/llm has brute force for each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
