@@ -85,11 +85,12 @@ def ordinary_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     )
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
+def train(samples: DataFrame, smoothing: float = 0.5, backoff: float = 8.0) -> np.ndarray:
     """log P(next | last, random) - log P(next | last, ordinary) for each pair of characters.
 
     samples(text, is_random). Pairs are counted by a grouped aggregation; what comes back is
-    at most one count for each class and pair of the fixed alphabet.
+    at most one count for each class and pair of the fixed alphabet. A pair's probability backs
+    off, by the weight of `backoff` pairs, to the frequency of its second character.
     """
     letters = F.split("text", "")
     pairs = samples.where(F.length("text") > 0).select(
@@ -104,10 +105,12 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
         "is_random", "pair.last", "pair.next"
     ).count()
     known = [*SYMBOLS, ""]
-    table = np.full((2, _STATES, len(SYMBOLS)), smoothing)
+    table = np.zeros((2, _STATES, len(SYMBOLS)))
     for row in counted.where(F.col("last").isin(known) & F.col("next").isin(list(SYMBOLS))).collect():
         last = _STATES - 1 if row["last"] == "" else int(_CODE[ord(row["last"])])
         table[int(row["is_random"]), last, int(_CODE[ord(row["next"])])] += row["count"]
+    single = table.sum(axis=1, keepdims=True) + smoothing
+    table += backoff * single / single.sum(axis=2, keepdims=True)
     logs = np.log(table / table.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 

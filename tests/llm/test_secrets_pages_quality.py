@@ -55,11 +55,13 @@ def test_no_rows(nothing, model):
 
 
 def test_training_counts_pairs(spark):
-    got = secrets.train(spark.createDataFrame([("aab", True), ("", True), ("abé", False)], "text string, is_random boolean"), 1.0)
+    got = secrets.train(spark.createDataFrame([("aab", True), ("", True), ("abé", False)], "text string, is_random boolean"), 1.0, 2.0)
     n, at = len(secrets.SYMBOLS), {c: i for i, c in enumerate(secrets.SYMBOLS)}
-    # random: a->a, a->b; ordinary: a->b
-    assert got[at["a"], at["b"]] == pytest.approx(np.log(2 / (n + 2)) - np.log(2 / (n + 1)))
-    assert got[at["a"], at["a"]] == pytest.approx(np.log(2 / (n + 2)) - np.log(1 / (n + 1)))
+    # random: begin->a, a->a, a->b; ordinary: begin->a, a->b
+    a_random, b_random = 2 * 3 / (n + 3), 2 * 2 / (n + 3)
+    a_ordinary = b_ordinary = 2 * 2 / (n + 2)
+    assert got[at["a"], at["b"]] == pytest.approx(np.log((1 + b_random) / 4) - np.log((1 + b_ordinary) / 3))
+    assert got[at["a"], at["a"]] == pytest.approx(np.log((1 + a_random) / 4) - np.log(a_ordinary / 3))
 
 
 def test_random_against_ordinary_held_out(spark):
