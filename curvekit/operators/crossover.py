@@ -97,7 +97,10 @@ def all_crossovers(
     low: float = fv.CROSSOVER_RANGE[0],
     high: float = fv.CROSSOVER_RANGE[1],
 ) -> DataFrame:
-    """Every crossover in the range: the gap has at most one turning point, so at most two."""
+    """Every crossover in the range: the gap has at most one turning point, so at most two.
+
+    Curves with the same parameters meet everywhere: their row is flagged `degenerate`.
+    """
     turn = (
         "pow(try_divide(fit.a * fit.b, base.a * base.b), try_divide(1D, fit.b - base.b))"
     )
@@ -115,6 +118,7 @@ def all_crossovers(
             "method",
             F.lit(baseline).alias("baseline"),
             F.expr(sign_change_root(error_gap, "span.lo", "span.hi")).alias("n_cross"),
+            F.expr("fit.a = base.a and fit.b = base.b and fit.c = base.c").alias("degenerate"),
         )
         .where(F.col("n_cross").isNotNull())
         .distinct()

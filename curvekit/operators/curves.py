@@ -49,17 +49,21 @@ def learning_curve_levels(
     size: str = "train_subset_size",
     metric: str = "primary_metric",
 ) -> DataFrame:
-    """Curves at several grouping levels in one pass; `level` names the keys used."""
+    """Curves at several grouping levels in one pass; `level` names the keys used.
+
+    A run without a key is left out of the levels that use this key, and of no other.
+    """
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    clean = runs.where(_present([*keys, size])).select(
-        *keys, F.col(size).cast("double").alias("n"), metric
-    )
+    clean = runs.where(_present([size])).select(*keys, F.col(size).cast("double").alias("n"), metric)
+    whole = reduce(and_, [(F.grouping(k) == 1) | F.col(k).isNotNull() for k in keys])
     level = F.concat_ws(
         "+", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]
     )
     return (
         clean.groupingSets([[F.col(k) for k in [*lv, "n"]] for lv in levels], *keys, "n")
-        .agg(level.alias("level"), *_measures(metric))
+        .agg(level.alias("level"), whole.alias("_whole"), *_measures(metric))
+        .where("_whole")
+        .drop("_whole")
         .withColumn("error", error_rate(F.col("mean")))
     )
 
@@ -69,12 +73,16 @@ def error_bars(curve: DataFrame) -> DataFrame:
     return curve.drop("cnt", "error")
 
 
-def ranked_means(curve: DataFrame, order: Sequence[str] = tuple(fv.FIGURE_METHOD_ORDER)) -> DataFrame:
+def ranked_means(
+    curve: DataFrame,
+    order: Sequence[str] = tuple(fv.FIGURE_METHOD_ORDER),
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Mean-only curves of the listed methods, with their drawing position (baseline last)."""
     position = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))
     return (
         curve.where(F.col("method").isin(*order))
-        .select("method", "n", "mean", position.cast("int").alias("draw_order"))
+        .select(*by, "method", "n", "mean", position.cast("int").alias("draw_order"))
     )
 
 

@@ -3,8 +3,8 @@
 For a fixed b the model is a line in u = N^(-b), so a group is solved by profiling b:
 a log grid over the range of b, a finer grid around its best value, a parabola through
 the three best values, and the exact line for the resulting b. Each step is a grouped
-aggregation of (group, b); the points are hash-partitioned by group once and every later
-grouping and join reuses that partitioning.
+aggregation of (group, b) with partial sums before its exchange; points are dealt out by
+group and N, so the trials of one group with very many points are evaluated by many tasks.
 """
 
 import math
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
 from curvekit.functions.numeric import bounded_line, power_law
+from curvekit.session import materialize
 
 COARSE_STEPS = 192
 FINE_STEPS = 32
@@ -25,6 +26,8 @@ POINTS_PER_TASK = 500  # each point is evaluated for COARSE_STEPS + 2 * FINE_STE
 
 @dataclass(frozen=True)
 class Bounds:
+    """Box of the parameters. b is searched from SMALLEST_B on: a smaller one is a constant curve."""
+
     a: tuple[float, float] = fv.A_BOUNDS
     b: tuple[float, float] = fv.B_BOUNDS
     c: tuple[float, float] = fv.C_BOUNDS
@@ -76,7 +79,7 @@ def _best_exponents(keys: str, bounds: Bounds) -> str:
             from ({_profile("coarse", keys, bounds)}) group by {keys}
         ), near as (
             select * from (
-                select /*+ shuffle_hash(start) */ *,
+                select *,
                     explode(transform(sequence(-{FINE_STEPS}, {FINE_STEPS}),
                         j -> b0 * exp(j * {fine!r}D))) as b
                 from points join start using ({keys})
@@ -108,11 +111,14 @@ def fit_power_law(
 
     Returns keys, fit_status, a, b, c, r2, se_a, se_b, se_c, n_points and the arrays
     sample_sizes, error_rates, fitted_values. A group that cannot be fitted keeps its
-    row with null parameters and the reason in `fit_status`; null keys are dropped. Pass a materialized curve:
-    it is read once per step. The points are spread over `partitions` (default: all cores)
-    by group; their bytes say little about the work, so the number is not left to AQE.
+    row with null parameters and the reason in `fit_status`; null keys are dropped. A curve that
+    is no written table is written first, as every step reads it. The points are spread over
+    `partitions` (default: one per POINTS_PER_TASK points, however many that gives) by
+    group and N; their bytes say little about the work, so the number is not left to AQE.
     """
-    partitions = partitions or curve.sparkSession.sparkContext.defaultParallelism
+    if partitions is None:
+        curve = materialize(curve, "curve")
+        partitions = max(1, math.ceil(curve.count() / POINTS_PER_TASK))
     keys = list(keys)
     names = ", ".join(f"`{key}`" for key in keys)
     lines, errors = bounded_line(bounds.a, bounds.c)
@@ -128,7 +134,7 @@ def fit_power_law(
                 var_pop(w) * count(*) as sww, covar_pop(u, w) * count(*) as suw,
                 array_sort(collect_list(struct(n, error))) as points
             from (
-                select /*+ shuffle_hash(exponents) */ *,
+                select *,
                     pow(n, -b) as u, pow(n, -b) * ln(n) as w
                 from points left join exponents using ({names})
             ) group by {names}
@@ -159,7 +165,7 @@ def fit_power_law(
             if(a is null, null, transform(points, p -> {power_law("p.n")})) as fitted_values
         from solved
         """,
-        points=curve.select(*keys, "n", "error").dropna(subset=keys).repartition(partitions, *keys),
+        points=curve.select(*keys, "n", "error").dropna(subset=keys).repartition(partitions, *keys, "n"),
     )
 
 
@@ -169,9 +175,7 @@ def fit_written_curve(
     bounds: Bounds = SHIPPED_BOUNDS,
 ) -> DataFrame:
     """Fits of a curve that is a written table: counting it is cheap and sets the parallelism."""
-    tasks = math.ceil(curve.count() / POINTS_PER_TASK)
-    cores = curve.sparkSession.sparkContext.defaultParallelism
-    return fit_power_law(curve, keys, bounds, max(1, min(cores, tasks)))
+    return fit_power_law(curve, keys, bounds, max(1, math.ceil(curve.count() / POINTS_PER_TASK)))
 
 
 def fitted_curve(

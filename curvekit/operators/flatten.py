@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from curvekit.schema import RESULT_FIELDS
 
-MAX_METRIC_COLUMNS = 10_000
-
-
 def numeric_metrics(metrics: str) -> Column:
     """Keep the numbers (and booleans) of a map<string,variant>, as doubles."""
     return F.expr(
@@ -21,15 +18,23 @@ def numeric_metrics(metrics: str) -> Column:
 
 
 def with_numeric_metrics(records: DataFrame) -> DataFrame:
-    """Run records whose two metric maps are map<string,double>."""
+    """Run records whose two metric maps are map<string,double>.
+
+    `eval_texts` has every value as it was written, and `metric_keys` all keys in their order.
+    """
+    texts = "transform_values(eval_metrics, (k, v) -> try_variant_get(v, '$', 'string'))"
     return records.withColumns(
-        {name: numeric_metrics(name) for name in ("train_metrics", "eval_metrics")}
+        {
+            "metric_keys": F.map_keys("eval_metrics"),
+            "eval_texts": F.expr(texts),
+            **{name: numeric_metrics(name) for name in ("train_metrics", "eval_metrics")},
+        }
     )
 
 
 def flatten_runs(records: DataFrame) -> DataFrame:
     """Ten fixed columns and the evaluation metrics as a map; anything absent is null."""
-    carried = [c for c in ("architecture", "source_file") if c in records.columns]
+    carried = [c for c in ("architecture", "source_file", "metric_keys", "eval_texts") if c in records.columns]
     return records.select(
         "run_dir",
         "config.method",
@@ -46,47 +51,55 @@ def flatten_runs(records: DataFrame) -> DataFrame:
     )
 
 
-def metric_names(flat: DataFrame, order: str | None = None) -> list[str]:
-    """Distinct metric names, in order of first appearance when an order column is given.
+def metric_names(flat: DataFrame, order: str | None = None) -> dict[str, str]:
+    """Distinct metric names and whether they are "string" or "double", in order of first
+    appearance when an order column is given.
 
-    The names become columns, so they have to reach the driver; a table with more of them
-    than a schema can carry is an error rather than silently cut.
+    A name that has a text in any run is a string column; one that is always null a double.
+    The names become columns, so they have to reach the driver, like any schema.
     """
     place = F.struct(F.col(order) if order else F.lit(0), "pos")
+    keys = F.col("metric_keys") if "metric_keys" in flat.columns else F.map_keys("eval_metrics")
+    text = F.lit(False)
+    if "eval_texts" in flat.columns:
+        text = F.coalesce(F.expr("eval_texts[name] is not null and eval_metrics[name] is null"), F.lit(False))
     found = (
-        flat.select(
-            *([order] if order else []), F.posexplode(F.map_keys("eval_metrics")).alias("pos", "name")
-        )
+        flat.select("*", F.posexplode(keys).alias("pos", "name"))
         .groupBy("name")
-        .agg(F.min(place).alias("place"))
+        .agg(F.min(place).alias("place"), F.bool_or(text).alias("text"))
         .orderBy("place", "name")
-        .limit(MAX_METRIC_COLUMNS + 1)
         .collect()
     )
-    if len(found) > MAX_METRIC_COLUMNS:
-        raise ValueError(f"more than {MAX_METRIC_COLUMNS} metric names; keep the map instead")
-    return [row["name"] for row in found]
+    return {row["name"]: "string" if row["text"] else "double" for row in found}
 
 
-def expand_metrics(flat: DataFrame, names: Iterable[str]) -> DataFrame:
-    """One double column per metric; a metric named like a fixed column replaces its value."""
-    names = list(names)
+def expand_metrics(flat: DataFrame, names: Iterable[str] | dict[str, str]) -> DataFrame:
+    """One column per metric; a metric named like a fixed column replaces its value, null or not.
+
+    `names` are those of metric_names(), or plain names, which give double columns.
+    """
+    kinds = names if isinstance(names, dict) else dict.fromkeys(names, "double")
+    keys = F.col("metric_keys") if "metric_keys" in flat.columns else F.map_keys("eval_metrics")
+
+    def metric(name: str, kind: str) -> Column:
+        if kind == "string" and "eval_texts" in flat.columns:
+            return F.col("eval_texts")[name]
+        return F.col("eval_metrics")[name].cast(kind)
 
     def fixed(name: str) -> Column:
-        if name not in names:
+        if name not in kinds:
             return F.col(name)
-        kind = dict(flat.dtypes)[name]
-        metric = F.col("eval_metrics")[name]
-        has = F.coalesce(F.map_contains_key("eval_metrics", F.lit(name)), F.lit(False))
-        if kind == "string":
-            metric = metric.cast("string")
-        return F.when(has, metric).otherwise(F.col(name)).alias(name)
-
-    rest = [c for c in flat.columns if c not in (*RESULT_FIELDS, "eval_metrics")]
-    added = [n for n in names if n not in RESULT_FIELDS]
+        own = dict(flat.dtypes)[name]
+        kind = "string" if "string" in (own, kinds[name]) else "double"
+        has = F.coalesce(F.array_contains(keys, F.lit(name)), F.lit(False))
+        return F.when(has, metric(name, kind)).otherwise(F.col(name)).alias(name)
+
+    hidden = (*RESULT_FIELDS, "eval_metrics", "eval_texts", "metric_keys")
+    rest = [c for c in flat.columns if c not in hidden]
+    added = [n for n in kinds if n not in RESULT_FIELDS]
     return flat.select(
         *[fixed(name) for name in RESULT_FIELDS],
-        *[F.col("eval_metrics")[name].alias(name) for name in added],
+        *[metric(name, kinds[name]).alias(name) for name in added],
         *rest,
     )
 

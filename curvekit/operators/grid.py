@@ -110,7 +110,8 @@ def deduplicate(
 ) -> DataFrame:
     """Keep one run per configuration, by default the one with the last run name.
 
-    Runs of the same name are told apart by a hash of their values, so the choice is stable.
+    Runs of the same name are told apart by a hash of their plain columns, so the choice is
+    stable; select the columns you need first, as all that are left are read for it.
     Every map task already reduces a configuration to its best row, so even a
     configuration that holds most rows moves only one row per task.
     """

@@ -42,10 +42,10 @@ MATTHEWS = (
 
 
 def accuracy(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of predictions equal to the label, any number of classes."""
+    """Share of predictions equal to the label, any number of classes; a null prediction is wrong."""
     return predictions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"),
+        F.avg(F.coalesce(F.col("pred") == F.col("label"), F.lit(False)).cast("double")).alias("accuracy"),
     )
 
 
@@ -67,13 +67,13 @@ def task_metrics(
     """Metrics of the row's task in one pass: accuracy always, F1 and MCC where they apply.
 
     The primary metric appears under `primary_metric`, `eval_primary_metric` and the
-    `eval_` column of its own name.
+    `eval_` column of its own name. A task that is not known has accuracy, but no primary metric,
+    and `status` says so; null predictions count as wrong.
     """
     named = {t: metric for t, (_, _, metric) in fv.TASK_FACTS.items()}
-    known = predictions.where(F.col(task).isin(list(named)))
     metrics = ("accuracy", "f1", "matthews_correlation")
     return (
-        confusion(known, [*keys, task])
+        confusion(predictions, [*keys, task])
         .withColumn("primary_metric_name", lookup(named, F.col(task)))
         .withColumns(
             {
@@ -86,8 +86,12 @@ def task_metrics(
         )
         .withColumn(
             "primary_metric",
-            F.coalesce("f1", "matthews_correlation", "accuracy"),
+            F.when(
+                F.col("primary_metric_name").isNotNull(),
+                F.coalesce("f1", "matthews_correlation", "accuracy"),
+            ),
         )
+        .withColumn("status", F.when(F.col("primary_metric_name").isNull(), "unknown_task").otherwise("ok"))
         .select(
             *keys,
             task,
@@ -95,6 +99,7 @@ def task_metrics(
             *metrics,
             "primary_metric_name",
             "primary_metric",
+            "status",
             F.col("primary_metric").alias("eval_primary_metric"),
             *[
                 F.when(F.col("primary_metric_name") == m, F.col("primary_metric")).alias(f"eval_{m}")

@@ -9,6 +9,7 @@ from curvekit import fixed_values as fv
 from curvekit.operators.config import method_colour, method_label
 from curvekit.operators.curves import error_bars, mean_performance_and_share, ranked_means
 from curvekit.operators.fit import fitted_curve
+from curvekit.session import materialize
 
 
 def efficiency(runs: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
@@ -19,19 +20,34 @@ def efficiency(runs: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
 
 
 def efficiency_matrix(
-    efficiencies: DataFrame, sizes: Sequence[int] = tuple(fv.ENCODER_SIZES)
+    efficiencies: DataFrame, sizes: Sequence[int] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Methods by sample sizes, both sorted, missing cells null; with display labels.
 
-    The sizes are passed in, so the pivot needs no extra pass to find them.
+    Sizes become columns. Without `sizes` they are those of the table, which is then written
+    first, since it is read twice. Given sizes must cover all that occur: one that they omit is an
+    error in the row that has it. `by` are further group keys; a table with other keys than
+    these and `method` has several values for a cell, which is an error, too.
     """
-    ordered = sorted(sizes)
-    cells = [F.max(F.when(F.col("n") == s, F.col("efficiency"))).alias(f"n{s}") for s in ordered]
+    if sizes is None:
+        efficiencies = materialize(efficiencies, "efficiencies")
+        sizes = [row["n"] for row in efficiencies.select("n").distinct().collect()]
+    ordered = sorted(int(s) if s == int(s) else s for s in sizes)
+    known = F.when(F.col("n").isin([float(s) for s in ordered]), F.col("n")).otherwise(
+        F.raise_error(F.format_string("no column for size %s", F.col("n"))).cast("double")
+    )
+    cells = [F.max(F.when(F.col("_n") == s, F.col("efficiency"))).alias(f"n{s}") for s in ordered]
+    once = F.when(F.count("_n") == F.count_distinct("_n"), F.lit(True)).otherwise(
+        F.raise_error(F.lit("several values for a cell; name the other keys in `by`")).cast("boolean")
+    )
     return (
-        efficiencies.groupBy("method")
-        .agg(*cells)
+        efficiencies.withColumn("_n", known)
+        .groupBy(*by, "method")
+        .agg(*cells, once.alias("_once"))
+        .where("_once")
+        .drop("_once")
         .withColumn("label", method_label())
-        .orderBy("method")
+        .orderBy(*by, "method")
     )
 
 
@@ -76,26 +92,31 @@ def log_position(series: DataFrame, x: str = "n") -> DataFrame:
     return series.withColumn("log_x", F.log10(x))
 
 
-def figure_series(curve: DataFrame, fits: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Observed points, fitted lines, mean-only lines and crossover markers in one table."""
+def figure_series(
+    curve: DataFrame, fits: DataFrame, keyed: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Observed points, fitted lines, mean-only lines and crossover markers in one table.
+
+    `by` are the group keys besides the method; they come first in every row.
+    """
     shown = {"label": method_label(), "colour": method_colour()}
     observed = (
         error_bars(curve)
         .withColumns(shown)
-        .selectExpr("'observed' as series", "method", "label", "colour", "n as x", "mean as y", "std as y_error")
+        .selectExpr("'observed' as series", *by, "method", "label", "colour", "n as x", "mean as y", "std as y_error")
     )
     fitted = (
-        fitted_curve(fits)
+        fitted_curve(fits, [*by, "method"])
         .withColumns(shown)
-        .selectExpr("'fitted' as series", "method", "label", "colour", "n as x", "performance as y")
+        .selectExpr("'fitted' as series", *by, "method", "label", "colour", "n as x", "performance as y")
     )
     means = (
-        ranked_means(curve)
+        ranked_means(curve, by=by)
         .withColumns(shown)
-        .selectExpr("'mean' as series", "method", "label", "colour", "n as x", "mean as y", "draw_order")
+        .selectExpr("'mean' as series", *by, "method", "label", "colour", "n as x", "mean as y", "draw_order")
     )
     markers = crossover_markers(keyed).selectExpr(
-        "'crossover' as series", "pair as method", "n_cross as x", "text"
+        "'crossover' as series", *by, "pair as method", "n_cross as x", "text"
     )
     together = observed
     for part in (fitted, means, markers):

@@ -9,6 +9,7 @@ from curvekit import fixed_values as fv
 from curvekit.functions.numeric import skip_nan
 from curvekit.operators.curves import learning_curve
 from curvekit.operators.grid import deduplicate
+from curvekit.schema import RUN_KEY
 
 CELL = ("task_name", "model_name")
 
@@ -47,9 +48,11 @@ def paired_by_seed(
 ) -> DataFrame:
     """Mean and deviation of method minus baseline over seeds, and how often it wins.
 
-    Duplicate runs are removed first, so a (cell, N, seed) has one row per method.
+    Duplicate runs are removed first, so a (cell, N, seed) has one row per method. Only the
+    columns used are read and compared.
     """
-    one_each = deduplicate(runs).select(
+    used = list(dict.fromkeys([*RUN_KEY, *cell, "run_dir", "primary_metric"]))
+    one_each = deduplicate(runs.select(*used)).select(
         *cell, "train_subset_size", "seed", "method", skip_nan("primary_metric").alias("metric")
     )
     peers = Window.partitionBy(*cell, "train_subset_size", "seed")

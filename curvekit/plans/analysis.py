@@ -34,7 +34,8 @@ class Analysis:
 
     @property
     def figure_series(self) -> DataFrame:
-        return figure_series(self.curve, self.fits, crossover_keys(self.crossovers))
+        by = [c for c in self.crossovers.columns if c not in ("method", "baseline", "n_cross", "degenerate")]
+        return figure_series(self.curve, self.fits, crossover_keys(self.crossovers), by)
 
 
 def analyse(

@@ -1,8 +1,9 @@
 """Readers: run records, results tables, fit documents, labelled text."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curvekit.operators.config import architecture
 from curvekit.operators.flatten import with_numeric_metrics
@@ -19,21 +20,51 @@ def scan_runs(
     With a fixed schema the files are read once, by the tasks. `one_per_file=False` reads
     JSON Lines, the form to keep many runs in: such files can be split, and a folder with
     one small file per run is best read once and stored as Parquet.
+
+    A file that is no JSON, or a value of another type, is an error that names the file.
+    Whole numbers may be written as 500.0 (they are read as doubles, exact up to 2**53).
     """
+    written = T.StructType.fromDDL(RUN_RECORD.replace("bigint", "double"))
     records = (
-        spark.read.schema(RUN_RECORD)
+        spark.read.schema(written)
         .option("multiLine", one_per_file)
+        .option("mode", "FAILFAST")
         .json(f"{root}/{files}")
         .withColumn("source_file", F.col("_metadata.file_path"))
     )
-    return with_numeric_metrics(records)
+    kinds = T.StructType.fromDDL(RUN_RECORD)
+    whole = {name: _whole_numbers(name, kinds[name].dataType) for name in ("config", "parameter_stats")}
+    return with_numeric_metrics(records.withColumns(whole))
+
+
+def _whole_numbers(name: str, kind: T.StructType) -> Column:
+    """A record whose whole numbers were read as doubles, with its own types."""
+
+    def cast(field: T.StructField) -> Column:
+        value = F.col(name)[field.name]
+        if isinstance(field.dataType, T.LongType):
+            wrong = F.raise_error(F.format_string(f"{name}.{field.name} is no whole number: %s", value))
+            value = F.when(value == F.floor(value), value.cast("bigint")).when(value.isNotNull(), wrong.cast("bigint"))
+        return value.alias(field.name)
+
+    return F.when(F.col(name).isNotNull(), F.struct(*[cast(f) for f in kind.fields]))
 
 
 def read_results(
-    spark: SparkSession, path: str, schema: str = RESULTS, json_lines: bool = False
+    spark: SparkSession, path: str, schema: str | None = None, json_lines: bool = False
 ) -> DataFrame:
-    """Results table from JSON arrays of rows (or JSON Lines)."""
-    return spark.read.schema(schema).option("multiLine", not json_lines).json(path)
+    """Results table from JSON arrays of rows (or JSON Lines), with all columns of the rows.
+
+    Without a schema the fixed columns have their types and all others the ones found in a pass
+    over the data; give the schema to save that pass.
+    """
+    read = spark.read.option("multiLine", not json_lines)
+    if schema is None:
+        found = read.json(path).schema
+        fixed = T.StructType.fromDDL(RESULTS)
+        more = [f for f in found if f.name not in fixed.names]
+        return read.schema(T.StructType([*fixed, *more])).json(path)
+    return read.schema(schema).json(path)
 
 
 def read_fits(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curvekit import fixed_values as fv
 from curvekit.session import materialize
@@ -14,26 +15,31 @@ FIT_FIELDS = (
 )
 
 
-def write_results_json(results: DataFrame, path: str) -> None:
+def write_results_json(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines with sorted keys; absent values have no key."""
-    results.select(*sorted(results.columns)).write.json(path)
+    results.select(*sorted(results.columns)).write.mode(mode).json(path)
 
 
-def write_results_csv(results: DataFrame, path: str) -> None:
-    """CSV with a header and no index; maps have no CSV form and are left out."""
-    plain = [name for name, kind in results.dtypes if not kind.startswith(("map", "array", "struct"))]
-    results.select(*plain).write.option("header", True).csv(path)
+def write_results_csv(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header and no index. Nested columns have no CSV form: expand or drop them first."""
+    nested = [name for name, kind in results.dtypes if kind.startswith(("map", "array", "struct"))]
+    if nested:
+        raise ValueError(f"no CSV form for {', '.join(nested)}")
+    results.write.mode(mode).option("header", True).csv(path)
 
 
 def write_results_table(
-    results: DataFrame, path: str, by: Sequence[str] = ("architecture", "method")
+    results: DataFrame,
+    path: str,
+    by: Sequence[str] = ("architecture", "method"),
+    mode: str = "overwrite",
 ) -> None:
     """Results as Parquet in one folder per architecture and method.
 
     Reading one method (`where method = …`) then opens only its folders. Rows are not
     shuffled: a method with most of the runs is written by all tasks.
     """
-    results.write.partitionBy(*by).parquet(path)
+    results.write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def fit_document(
@@ -74,22 +80,43 @@ def fit_document(
     return whole.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_fit_document(document: DataFrame, path: str) -> None:
-    document.write.text(path)
+def write_fit_document(document: DataFrame, path: str, mode: str = "overwrite") -> None:
+    document.write.mode(mode).text(path)
 
 
-def write_run_records(records: DataFrame, root: str, run: str = "run_dir") -> None:
+def _sorted_keys(column: Column, kind: StructType) -> Column:
+    """A record with its names in order at every level."""
+    fields = sorted(kind.fields, key=lambda f: f.name)
+    rebuilt = F.struct(
+        *[
+            (_sorted_keys(column[f.name], f.dataType) if isinstance(f.dataType, StructType) else column[f.name]).alias(f.name)
+            for f in fields
+        ]
+    )
+    return F.when(column.isNotNull(), rebuilt)
+
+
+def write_run_records(
+    records: DataFrame, root: str, run: str = "run_dir", mode: str = "overwrite"
+) -> None:
     """Config and metrics of every run as JSON, one folder per run under two trees.
 
-    The records are computed once and spread by run, so a run's folder gets one file.
+    The records are computed once and spread by run, so a run's folder gets one file. Keys
+    are sorted at every level.
     """
-    spread = materialize(records.withColumn("run_id", F.col(run)), "records").repartition("run_id")
-    spread.select("run_id", "config.*").write.partitionBy("run_id").json(f"{root}/config")
-    spread.select(
-        "run_id", *sorted(c for c in spread.columns if c != "run_id")
-    ).write.partitionBy("run_id").json(f"{root}/metrics")
+    ordered = records.select(
+        *[
+            (_sorted_keys(F.col(f.name), f.dataType) if isinstance(f.dataType, StructType) else F.col(f.name)).alias(f.name)
+            for f in sorted(records.schema.fields, key=lambda f: f.name)
+        ]
+    )
+    spread = materialize(ordered.withColumn("run_id", F.col(run)), "records").repartition("run_id")
+    spread.select("run_id", "config.*").write.mode(mode).partitionBy("run_id").json(f"{root}/config")
+    spread.select("run_id", *ordered.columns).write.mode(mode).partitionBy("run_id").json(f"{root}/metrics")
 
 
-def write_series(series: DataFrame, path: str, by: Sequence[str] = ("series",)) -> None:
+def write_series(
+    series: DataFrame, path: str, by: Sequence[str] = ("series",), mode: str = "overwrite"
+) -> None:
     """Figure data as Parquet, one folder per kind of series."""
-    series.write.partitionBy(*by).parquet(path)
+    series.write.mode(mode).partitionBy(*by).parquet(path)

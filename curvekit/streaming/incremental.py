@@ -1,6 +1,6 @@
 """Curves, duplicate suppression and refits while run files keep arriving."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +11,10 @@ from curvekit.operators.curves import learning_curve
 from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_written_curve
 from curvekit.operators.flatten import flatten_runs, with_numeric_metrics
 from curvekit.schema import RUN_RECORD
-from curvekit.session import materialize
 from curvekit.sources.readers import RUN_FILES
 
+#: Folder with the numbers of whole versions, and how many versions stay.
+PUBLISHED, KEPT_VERSIONS = "_published", 3
 RUN_STAMP = r"(\d{8}_\d{6})$"
 
 
@@ -64,17 +65,35 @@ def _start(
     return writer.foreachBatch(each).start()
 
 
+def _publish(table: DataFrame, target: str, batch: int, keep: int) -> None:
+    """Write a version, name it as published once it is whole, and drop those before the last `keep`.
+
+    A batch that runs again after a failure replaces its own version.
+    """
+    spark = table.sparkSession
+    table.write.mode("overwrite").parquet(f"{target}/version={batch}")
+    named = spark.range(1).select(F.lit(batch).cast("bigint").alias("version"))
+    named.coalesce(1).write.mode("append").parquet(f"{target}/{PUBLISHED}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={batch - keep}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def maintain_curve(
-    runs: DataFrame, target: str, checkpoint: str, keys=("method",), drain: bool = False
+    runs: DataFrame,
+    target: str,
+    checkpoint: str,
+    keys=("method",),
+    drain: bool = False,
+    keep: int = KEPT_VERSIONS,
 ) -> StreamingQuery:
     """Keep the learning curve at `target` current; the state is one row per (keys, N).
 
-    Each batch writes a new version folder, so a batch that runs again after a failure
-    replaces its own version and readers never see half of one.
+    Each batch writes a new version folder and publishes its number afterwards. Readers that use
+    latest_version() never see half of one; `keep` versions stay for readers under way.
     """
 
     def publish(curve: DataFrame, batch: int) -> None:
-        curve.write.mode("overwrite").parquet(f"{target}/version={batch}")
+        _publish(curve, target, batch, keep)
 
     return _start(learning_curve(runs, keys), "complete", checkpoint, publish, drain)
 
@@ -85,18 +104,25 @@ def maintain_fits(
     checkpoint: str,
     bounds: Bounds = SHIPPED_BOUNDS,
     drain: bool = False,
+    by: Sequence[str] = (),
+    keep: int = KEPT_VERSIONS,
 ) -> StreamingQuery:
-    """Refit all methods and their crossovers on the curve after every batch."""
+    """Refit all methods within each `by` group, and their crossovers, after every batch.
+
+    A batch's curve and fits are cached while it is worked on and leave no files behind.
+    """
+    keys = [*by, "method"]
 
     def refit(curve: DataFrame, batch: int) -> None:
-        snapshot = materialize(curve, "curve-snapshot")
-        fits = materialize(fit_written_curve(snapshot, bounds=bounds), "fits-snapshot")
-        found = crossovers(fits).select("method", "n_cross")
-        fits.select("method", "fit_status", "a", "b", "c", "r2").join(
-            found, "method", "left"
-        ).write.mode("overwrite").parquet(f"{target}/version={batch}")
+        snapshot = curve.persist()
+        fits = fit_written_curve(snapshot, keys, bounds).persist()
+        found = crossovers(fits, by).select(*keys, "n_cross")
+        fitted = fits.select(*keys, "fit_status", "a", "b", "c", "r2").join(found, keys, "left")
+        _publish(fitted, target, batch, keep)
+        fits.unpersist()
+        snapshot.unpersist()
 
-    return _start(learning_curve(runs), "complete", checkpoint, refit, drain)
+    return _start(learning_curve(runs, keys), "complete", checkpoint, refit, drain)
 
 
 def append_runs(runs: DataFrame, target: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
@@ -108,7 +134,6 @@ def append_runs(runs: DataFrame, target: str, checkpoint: str, drain: bool = Fal
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """Newest version of a maintained table."""
-    versions = spark.read.parquet(target)
-    newest = versions.select(F.max("version").alias("version"))
-    return versions.join(F.broadcast(newest), "version").drop("version")
+    """Newest published version of a maintained table; only its folder is read."""
+    newest = spark.read.parquet(f"{target}/{PUBLISHED}").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{target}/version={newest}")

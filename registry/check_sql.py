@@ -54,6 +54,11 @@ texts AS (
     doc_id AS example_id, text AS text_a, quality AS label
   FROM documents JOIN labels USING (doc_id))"""
 
+DOCUMENT_TEXTS = """
+texts AS (
+  SELECT lang AS task, doc_id AS example_id, text AS text_a, CAST(n_chars > 500 AS INTEGER) AS label
+  FROM documents)"""
+
 PAIRS = """
 pairs AS (
   SELECT a.conv_id, a.turn, a.text AS text_a, b.text AS text_b,

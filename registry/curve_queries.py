@@ -205,24 +205,24 @@ def fit_payload(spark, sf):
 
 @query(
     "l6_fit_status",
-    f"""WITH {S.METHOD_RUNS}, masked AS (
-      SELECT method, train_subset_size,
-        CASE WHEN method <> 'bitfit' OR train_subset_size <> 500 THEN primary_metric END AS primary_metric
-      FROM method_runs WHERE method <> 'lora' OR train_subset_size <= 100), {S.curve("masked")}
-    SELECT method, CASE WHEN count(*) < 3 THEN 'too_few_points'
+    f"""WITH {S.RUNS}, untaxed AS (
+      SELECT strftime(started, '%Y-%m') AS month, model_name, method, train_subset_size,
+        CASE WHEN learning_rate IS NOT NULL THEN primary_metric END AS primary_metric FROM runs),
+      {S.curve("untaxed", "month, model_name, method")}
+    SELECT month, model_name, method, CASE WHEN count(*) < 3 THEN 'too_few_points'
       WHEN count(error) < count(*) THEN 'non_finite' ELSE 'ok' END AS fit_status, count(*) AS n_points
-    FROM points GROUP BY method""",
+    FROM points GROUP BY month, model_name, method""",
 )
 def fit_status(spark, sf):
-    masked = (
-        V.method_runs(spark, sf)
-        .where("method <> 'lora' or train_subset_size <= 100")
-        .withColumn(
-            "primary_metric",
-            F.expr("if(method = 'bitfit' and train_subset_size = 500, double('nan'), primary_metric)"),
-        )
+    """All runs by month and model; a run without a learning rate has no metric."""
+    untaxed = V.runs(spark, sf).withColumns(
+        {
+            "month": F.date_format("started", "yyyy-MM"),
+            "primary_metric": F.expr("if(learning_rate is null, double('nan'), primary_metric)"),
+        }
     )
-    return analyse(masked).fits.select("method", "fit_status", "n_points")
+    by = ["month", "model_name"]
+    return analyse(untaxed, by).fits.select(*by, "method", "fit_status", "n_points")
 
 
 GROUPED = "task_name, seed, method"
@@ -301,8 +301,8 @@ spans AS (
 @query(
     "x4_all_crossovers",
     f"""{FITTED}, {S.crossings(bracket=TURNING)}
-    SELECT method, 'full_ft' AS baseline, {r("n_cross", 2)} AS n_cross
-    FROM crossings WHERE n_cross IS NOT NULL""",
+    SELECT method, 'full_ft' AS baseline, {r("n_cross", 2)} AS n_cross,
+      false AS degenerate FROM crossings WHERE n_cross IS NOT NULL""",
 )
 def all_crossovers(spark, sf):
     return rounded(X.all_crossovers(_fits(spark, sf)), 2)

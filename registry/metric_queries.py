@@ -12,7 +12,7 @@ from registry import views as V
 from registry.catalog import query, r, rounded
 
 LOGITS = """logits AS (
-  SELECT vec_id AS example_id, label, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS v FROM embeddings),
+  SELECT vec_id AS example_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
 predicted AS (
   SELECT example_id, label, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS pred FROM logits)"""
 
@@ -146,7 +146,7 @@ def parameter_counts_base(spark, sf):
       {r("matthews_correlation")} AS matthews_correlation, primary_metric_name,
       {r("primary_metric")} AS primary_metric, {r("primary_metric")} AS eval_primary_metric,
       {r("CASE WHEN task IN ('sst2', 'rte') THEN accuracy END")} AS eval_accuracy, {r("f1")} AS eval_f1,
-      {r("matthews_correlation")} AS eval_matthews_correlation FROM full_scores""",
+      {r("matthews_correlation")} AS eval_matthews_correlation, 'ok' AS status FROM full_scores""",
 )
 def task_metrics(spark, sf):
     return rounded(M.task_metrics(V.class_predictions(spark, sf)))
@@ -218,4 +218,4 @@ def write_run_records(spark, sf):
     root = scratch_path(spark, "run-records")
     writers.write_run_records(_records(spark, sf), root)
     back = readers.scan_runs(spark, f"{root}/metrics", "*/part-*.json", one_per_file=False)
-    return rounded(flatten_runs(back).drop("eval_metrics", "architecture", "source_file"))
+    return rounded(flatten_runs(back).drop("eval_metrics", "eval_texts", "metric_keys", "architecture", "source_file"))

@@ -1,5 +1,7 @@
 """Run records and results: sources, sinks, flattening, configs, validation, the grid."""
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
@@ -49,17 +51,18 @@ FLAT = f"""WITH {S.RUN_JSON} SELECT run_dir, method, NULL::VARCHAR AS model_name
 @query("p1_flatten_records", FLAT)
 def flatten_records(spark, sf):
     flat = P1.flatten_runs(_scan(spark, sf))
-    return rounded(flat.drop("eval_metrics", "architecture", "source_file"))
+    return rounded(flat.drop("eval_metrics", "eval_texts", "metric_keys", "architecture", "source_file"))
 
 
 EXPANDED = f"""{S.RUN_JSON}, expanded AS (
   SELECT run_dir, method, CASE WHEN purchase THEN 0 - k ELSE CAST(seed AS DOUBLE) END AS seed,
     train_subset_size, primary_metric_name, {r("value")} AS primary_metric,
-    {r("value")} AS eval_primary_metric, k, CASE WHEN purchase THEN CAST(1 AS DOUBLE) END AS flag
+    {r("value")} AS eval_primary_metric, k, CASE WHEN purchase THEN CAST(1 AS DOUBLE) END AS flag,
+    method AS note
   FROM run_json)"""
 EXPANDED_COLUMNS = [
     "run_dir", "method", "seed", "train_subset_size", "primary_metric_name", "primary_metric",
-    "eval_primary_metric", "k", "flag",
+    "eval_primary_metric", "k", "flag", "note",
 ]
 
 
@@ -105,7 +108,7 @@ def write_results_json(spark, sf):
     wide = aggregate_runs(spark, _run_files(spark, sf), LINES, one_per_file=False)
     writers.write_results_json(wide, path)
     kinds = {"seed": "double", "train_subset_size": "bigint", "run_dir": "string",
-             "method": "string", "primary_metric_name": "string"}
+             "method": "string", "primary_metric_name": "string", "note": "string"}
     schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in EXPANDED_COLUMNS)
     return rounded(readers.read_results(spark, path, schema, json_lines=True))
 
@@ -292,14 +295,19 @@ def grid_with_run_counts(spark, sf):
     return E.runs_per_cell(V.runs(spark, sf))
 
 
+# All methods, models and tasks, one size and one seed more than were run.
+LARGER_PLAN = dataclasses.replace(
+    E.ENCODER_PLAN, sizes=[*E.ENCODER_PLAN.sizes, 300], seeds=[*E.ENCODER_PLAN.seeds, 7]
+)
+
+
 @query(
     "e2_missing_cells",
-    f"""WITH {S.RUNS}, {PLANNED} SELECT architecture, {KEY} FROM planned
-    WHERE ({KEY}) NOT IN (SELECT ({KEY}) FROM runs WHERE trainable_percentage < 50)""",
+    f"""WITH {S.RUNS}, planned AS ({_plan_sql('encoder', LARGER_PLAN)}) SELECT architecture, {KEY} FROM planned
+    WHERE ({KEY}) NOT IN (SELECT ({KEY}) FROM runs)""",
 )
 def missing_cells(spark, sf):
-    adapters = V.runs(spark, sf).where("trainable_percentage < 50")
-    return E.missing_cells(adapters)
+    return E.missing_cells(V.runs(spark, sf), [LARGER_PLAN])
 
 
 @query(
@@ -339,8 +347,7 @@ def duplicate_count(spark, sf):
       FROM runs) WHERE place = 1""",
 )
 def keep_one_run(spark, sf):
-    kept = E.deduplicate(V.runs(spark, sf), LINE_KEY)
-    return kept.select(*LINE_KEY, "run_dir", "method")
+    return E.deduplicate(V.runs(spark, sf).select(*LINE_KEY, "run_dir", "method"), LINE_KEY)
 
 
 @query(

@@ -128,13 +128,13 @@ def training_text(spark, sf):
     return _prompted(spark, sf).select("example_id", "text")
 
 
-TOKENISED = f"""{S.TEXTS}, tokenised AS (
+TOKENISED = f"""{S.DOCUMENT_TEXTS}, tokenised AS (
   SELECT task, example_id, label, CAST(len({WORDS}) AS INTEGER) AS n_tokens,
     {WORDS}[1:{LENGTH}] AS ids FROM texts)"""
 
 
 def _tokenised(spark, sf):
-    return TX.tokenise(V.labelled_text(spark, sf), "text_a", LENGTH)
+    return TX.tokenise(V.document_text(spark, sf), "text_a", LENGTH)
 
 
 @query(
@@ -180,10 +180,10 @@ def encode_pairs(spark, sf):
       array_to_string(ids, ' ') || repeat(' <pad>', {LENGTH} - len(ids)) AS input_ids,
       repeat('1', len(ids)) || repeat('0', {LENGTH} - len(ids)) AS attention_mask,
       array_to_string(ids, ' ') || repeat(' <pad>', {LENGTH} - len(ids)) AS labels
-    FROM tokenised WHERE n_tokens > 0""",
+    FROM tokenised""",
 )
 def pad_and_mask(spark, sf):
-    padded = TX.pad(_tokenised(spark, sf).where("n_tokens > 0"), LENGTH)
+    padded = TX.pad(_tokenised(spark, sf), LENGTH)
     return padded.select(
         "example_id",
         F.array_join("input_ids", " ").alias("input_ids"),
@@ -213,7 +213,7 @@ def model_input_columns(spark, sf):
       array_to_string(ids, ' ') AS input_ids FROM tokenised""",
 )
 def drop_originals(spark, sf):
-    examples = V.labelled_text(spark, sf)
+    examples = V.document_text(spark, sf)
     originals = [c for c in examples.columns if c != "example_id"]
     return _spelled(P1.drop_originals(TX.tokenise(examples, "text_a", LENGTH), originals))
 

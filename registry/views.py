@@ -106,6 +106,13 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole, as texts to tokenise."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "lang as task", "doc_id as example_id", "text as text_a", "int(n_chars > 500) as label"
+    )
+
+
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text pairs: a turn and the next one; the join key (conversation, turn) is unique."""
     turns = table(spark, sf_dir, "conversations")
@@ -135,7 +142,7 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id as example_id", "cast(slice(embedding, 1, 10) as array<double>) as logits", "label"
+        "vec_id as example_id", "cast(embedding as array<double>) as logits", "label"
     )
 
 

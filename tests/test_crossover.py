@@ -87,6 +87,7 @@ def test_special_cases(spark):
     assert found["nan"].n_cross is None
     every = {(r.method, r.n_cross) for r in X.all_crossovers(fits).collect()}
     assert {m for m, _ in every} == {"same", "same_b", "flat"}
+    assert {r.method for r in X.all_crossovers(fits).where("degenerate").collect()} == {"same"}
 
 
 def test_no_rows_without_a_baseline(spark):

@@ -57,3 +57,11 @@ def test_performance_and_share(spark, rows):
         "method string, train_subset_size bigint, primary_metric double, trainable_percentage double",
     )
     assert rows(H.mean_performance_and_share(runs)) == [("lora", 50.0, 0.6, 2.0)]
+
+
+def test_a_null_key_counts_at_levels_that_do_not_use_it(spark):
+    runs = spark.createDataFrame(
+        [("lora", "encoder", 50, 0.5), ("lora", None, 50, 0.7), (None, "encoder", 50, 0.9)],
+        "method string, architecture string, train_subset_size bigint, primary_metric double")
+    got = {(r.level, r.method, r.architecture): r.cnt for r in H.learning_curve_levels(runs).collect()}
+    assert got == {("method", "lora", None): 2, ("method+architecture", "lora", "encoder"): 1}

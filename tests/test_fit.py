@@ -134,3 +134,20 @@ def test_several_keys_and_null_free_groups(spark):
     assert len(fits) == 9
     for fit in fits:
         assert fit.b == pytest.approx(0.2 + int(fit.method[1:]) / 20, abs=1e-4)
+
+
+def test_one_group_of_many_sizes_and_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    curve = spark.range(200_000).selectExpr("'one' as method", "double(50 + id) as n").union(
+        spark.range(100_000).selectExpr("string(id) as method", "explode(array(50D, 100D, 200D, 500D)) as n"))
+    curve = curve.withColumn("error", F.expr("1.5D * pow(n, -0.3D) + 0.05D"))
+    few = L.fit_power_law(curve.where("method = 'one' or int(method) < 2000"))
+    got = few.agg(F.count("*").alias("k"), F.min("b").alias("low"), F.max("b").alias("high")).first()
+    assert got.k == 2001 and got.low == pytest.approx(0.3, abs=1e-3) and got.high == pytest.approx(0.3, abs=1e-3)
+
+
+def test_the_plan_has_no_join_hints(spark):
+    curve = spark.createDataFrame([("m", float(n), n ** -0.3) for n in (50, 100, 200)], "method string, n double, error double")
+    plan = L.fit_power_law(curve, partitions=3)._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" not in plan and "shuffle_hash" not in plan

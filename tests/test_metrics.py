@@ -30,7 +30,9 @@ def test_task_metrics_in_one_pass(spark):
         [(t, t, y, p) for t in ("sst2", "mrpc", "cola", "qnli", "rte", "stsb") for y, p in ((1, 1), (0, 1), (0, 0))],
         PRED)
     got = {r.task: r for r in M.task_metrics(df).collect()}
-    assert set(got) == {"sst2", "mrpc", "cola", "qnli", "rte"}
+    assert {t: r.status for t, r in got.items()} == {
+        **dict.fromkeys(("sst2", "mrpc", "cola", "qnli", "rte"), "ok"), "stsb": "unknown_task"}
+    assert got["stsb"].accuracy == pytest.approx(2 / 3) and got["stsb"].primary_metric is None
     assert got["sst2"].primary_metric == got["sst2"].eval_accuracy == pytest.approx(2 / 3)
     assert (got["sst2"].f1, got["sst2"].matthews_correlation, got["sst2"].eval_f1) == (None, None, None)
     assert got["mrpc"].primary_metric == got["mrpc"].eval_f1 == pytest.approx(2 / 3)
@@ -38,6 +40,12 @@ def test_task_metrics_in_one_pass(spark):
     assert got["cola"].eval_primary_metric == got["cola"].matthews_correlation == pytest.approx(0.5)
 
 
+def test_a_null_prediction_is_wrong_everywhere(spark):
+    df = spark.createDataFrame([("r", "sst2", 1, 1), ("r", "sst2", 1, None)], PRED)
+    assert M.accuracy(df, ["run_id"]).first().accuracy == 0.5
+    assert M.task_metrics(df).first().accuracy == 0.5
+
+
 def test_generated_score_is_by_substring(spark):
     df = spark.createDataFrame(
         [("r", "  YES it is", "yes"), ("r", "I do not know", "no"), ("r", "", "yes"), ("r", None, "yes")],

@@ -68,7 +68,7 @@ def test_flatten_keeps_rows_without_parents(spark, tree):
 def test_metric_columns_in_first_seen_order_and_clash(spark, tree):
     table = aggregate_runs(spark, tree)
     added = [c for c in table.columns if c not in P1.RESULT_FIELDS]
-    assert added == ["eval_total", "eval_primary_metric", "eval_accuracy", "count", "ok",
+    assert added == ["eval_total", "eval_primary_metric", "eval_accuracy", "count", "text", "ok",
                      "architecture", "source_file"]
     seeds = {r.run_dir: r.seed for r in table.collect()}
     assert seeds == {"a_run": 99, "/x/b_run": 42, "c": None}
@@ -79,7 +79,11 @@ def test_results_json_sorted_keys_and_csv(spark, folder, rows):
     writers.write_results_json(df, f"{folder}/deep/er/json")
     lines = [r.value for r in spark.read.text(f"{folder}/deep/er/json").collect()]
     assert sorted(lines) == ['{"acc":0.5,"run_dir":"x"}', '{"run_dir":"y","seed":2}']
-    writers.write_results_csv(df.withColumn("m", F.create_map(F.lit("k"), "acc")), f"{folder}/csv")
+    with pytest.raises(ValueError, match="no CSV form for m"):
+        writers.write_results_csv(df.withColumn("m", F.create_map(F.lit("k"), "acc")), f"{folder}/csv")
+    for _ in range(2):  # a second run replaces the first
+        writers.write_results_csv(df, f"{folder}/csv")
+        writers.write_results_json(df, f"{folder}/deep/er/json")
     back = spark.read.option("header", True).csv(f"{folder}/csv")
     assert back.columns == ["run_dir", "seed", "acc"]
     assert rows(back) == [("x", None, "0.5"), ("y", "2", None)]
@@ -247,3 +251,40 @@ def test_counts_and_first_seen(spark):
     assert {r.architecture: r.n_runs for r in E.run_counts(runs).collect()} == {
         "encoder": 2, "decoder": 1, None: 1, "all": 4}
     assert sorted((r.first_seen, r.method) for r in E.methods_in_order(runs, "at").collect()) == [(1, "b"), (3, "a")]
+
+
+def test_unreadable_files_and_values_are_errors(spark, folder):
+    put(folder, "a/metrics.json", '{"run_dir": "a", "config": {"seed": 42.0, "train_subset_size": 500.0}}')
+    flat = P1.flatten_runs(readers.scan_runs(spark, folder)).first()
+    assert (flat.seed, flat.train_subset_size) == (42, 500)
+    put(folder, "b/metrics.json", '{"run_dir": "b", "config": {"seed": 42')
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED|FAILFAST"):
+        readers.scan_runs(spark, folder).collect()
+    put(folder, "b/metrics.json", '{"run_dir": "b", "config": {"seed": 42.5}}')
+    with pytest.raises(Exception, match="config.seed is no whole number"):
+        readers.scan_runs(spark, folder).collect()
+
+
+def test_text_and_null_metrics_are_columns(spark, folder):
+    put(folder, "a/metrics.json", json.dumps({"run_dir": "a", "config": {"seed": 1, "method": "x"}, "eval_metrics": {"note": "good", "acc": 1, "never": None, "seed": None}}))
+    put(folder, "b/metrics.json", json.dumps({"run_dir": "b", "config": {"seed": 2, "method": "y"}, "eval_metrics": {"note": 7, "method": "z"}}))
+    wide = aggregate_runs(spark, folder)
+    rows = {r.run_dir: r for r in wide.collect()}
+    assert (rows["a"].note, rows["a"].acc, rows["a"].never, rows["a"].seed, rows["a"].method) == ("good", 1.0, None, None, "x")
+    assert (rows["b"].note, rows["b"].acc, rows["b"].seed, rows["b"].method) == ("7", None, 2, "z")
+
+
+def test_results_keep_their_metric_columns(spark, folder):
+    put(folder, "r.json", json.dumps([{"method": "lora", "eval_f1": 0.5, "architecture": "encoder"}]))
+    row = readers.read_results(spark, f"{folder}/r.json").first()
+    assert (row.method, row.eval_f1, row.architecture, row.seed) == ("lora", 0.5, "encoder", None)
+
+
+def test_run_records_have_sorted_keys_and_can_be_written_again(spark, folder):
+    records = spark.createDataFrame(
+        [("r1", ("lora", 1, 0.5), {"b": 1.0})], "run_dir string, config struct<method:string,seed:bigint,a_field:double>, eval_metrics map<string,double>")
+    for _ in range(2):
+        writers.write_run_records(records, folder)
+    text = lambda kind: [r.value for r in spark.read.text(f"{folder}/{kind}").collect()]
+    assert text("config") == ['{"a_field":0.5,"method":"lora","seed":1}']
+    assert text("metrics") == ['{"config":{"a_field":0.5,"method":"lora","seed":1},"eval_metrics":{"b":1.0},"run_dir":"r1"}']

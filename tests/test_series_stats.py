@@ -66,3 +66,33 @@ def test_welch_and_pairs(spark):
     welch = Q.welch(runs.where("run_dir not in ('a-older-duplicate', 'unpaired')")).first()
     assert welch.t == pytest.approx(0.2 / math.sqrt(0.01 / 3 + 0.01 / 3))
     assert welch.df == pytest.approx(4.0)
+
+
+EFFICIENCIES = "task_name string, method string, n double, efficiency double"
+
+
+def test_matrix_has_all_sizes_and_group_keys(spark):
+    table = spark.createDataFrame(
+        [("a", "lora", 50.0, 1.0), ("a", "lora", 300.0, 2.0), ("b", "lora", 50.0, 3.0)], EFFICIENCIES)
+    rows = K.efficiency_matrix(table, by=["task_name"]).collect()
+    assert [(r.task_name, r.n50, r.n300) for r in rows] == [("a", 1.0, 2.0), ("b", 3.0, None)]
+
+
+def test_matrix_refuses_what_it_would_lose(spark):
+    table = spark.createDataFrame([("a", "lora", 50.0, 1.0), ("b", "lora", 50.0, 3.0)], EFFICIENCIES)
+    with pytest.raises(Exception, match="several values for a cell"):
+        K.efficiency_matrix(table).collect()
+    with pytest.raises(Exception, match="no column for size 50"):
+        K.efficiency_matrix(table, [100], ["task_name"]).collect()
+
+
+def test_figure_series_keep_group_keys(spark):
+    from curvekit.plans.analysis import analyse
+
+    runs = spark.createDataFrame(
+        [(t, m, n, 1 - a * n ** -0.3) for t, a in (("x", 1.0), ("y", 2.0)) for m in ("lora", "full_ft") for n in (50, 100, 200, 500)],
+        "task_name string, method string, train_subset_size bigint, primary_metric double")
+    series = analyse(runs, ["task_name"]).figure_series
+    observed = series.where("series = 'observed'").collect()
+    assert len({(r.task_name, r.method, r.x) for r in observed}) == len(observed) == 16
+    assert all(r.task_name for r in series.where("series <> 'crossover'").collect())

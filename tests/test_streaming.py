@@ -71,3 +71,26 @@ def test_refit_after_each_arrival(spark, folder):
             assert {f.fit_status for f in fits.values()} == {"too_few_points"}
     assert fits["lora"].b == pytest.approx(0.251, abs=1e-4)
     assert 10 < fits["lora"].n_cross < 200 and fits["full_ft"].n_cross is None
+
+
+def test_half_written_versions_are_not_seen_and_old_ones_go(spark, folder):
+    root, target, state = f"{folder}/runs", f"{folder}/curve", f"{folder}/state"
+    for batch in range(4):
+        add_run(root, f"run_{batch}", "lora", 50, 0.5)
+        W.maintain_curve(W.stream_runs(spark, root), target, state, drain=True, keep=2).awaitTermination()
+    os.makedirs(f"{target}/version=99")
+    assert W.latest_version(spark, target).first().cnt == 4
+    assert sorted(d for d in os.listdir(target) if d.startswith("version")) == ["version=2", "version=3", "version=99"]
+
+
+def test_refits_by_group_leave_no_files(spark, folder):
+    from curvekit.session import scratch_root
+
+    root, target, state = f"{folder}/runs", f"{folder}/fits", f"{folder}/state"
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+    for batch in range(3):
+        add_run(root, f"run_{batch}", "lora", 50 * (batch + 1), 0.5)
+        stream = W.stream_runs(spark, root)
+        W.maintain_fits(stream, target, state, drain=True, by=["task_name"]).awaitTermination()
+    assert "task_name" in W.latest_version(spark, target).columns
+    assert set(os.listdir(scratch_root(spark).removeprefix("file:"))) == before
