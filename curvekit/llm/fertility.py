@@ -1,5 +1,6 @@
 """Quality rules by tokeniser fertility: how a public vocabulary cuts a text up."""
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,11 +23,13 @@ WINDOW = 5
 # tails does not move. On labelled documents of the test tables 6 rejects 0.3 % of the good ones.
 WIDEN = 6.0
 BIN = 0.002
-LEAST_WIDTH = 0.04
-MEASURES = ("chars_per_token", "byte_share", "entropy")
+#: Each measure's smallest distance from the median to a limit, on its own scale: near copies, which
+#: are different texts, can bring the quartiles together as well.
+LEAST_WIDTHS = {"chars_per_token": 0.15, "byte_share": 0.04, "entropy": 0.08}
+MEASURES = tuple(LEAST_WIDTHS)
 
 _SCHEMA = (
-    "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, band string, digest binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -136,6 +139,7 @@ class _Measurer:
         return {
             "doc_id": part.column("doc_id"),
             "band": [b if b is not None else script_of(t) for b, t in zip(bands, texts)],
+            "digest": [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in split],
             "n_words": n_words,
             "word_chars": word_chars,
             "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts],
@@ -156,7 +160,7 @@ def _repeated_lines(text: str) -> int:
 def measure(
     docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", lang: str | None = "lang"
 ) -> DataFrame:
-    """Per row: the counts of the base rules, n_tokens, characters per token, byte-fallback share
+    """Per row: a digest of its words, the counts of the base rules, n_tokens, characters per token, byte-fallback share
     and token entropy (as a share of its largest value), and the row's band.
 
     The band is the language, or the main script where `lang` is None or null. A null text
@@ -179,15 +183,18 @@ def _length(n: str = "n_words"):
 def bands(measured: DataFrame, widen: float = WIDEN) -> DataFrame:
     """Per band and length class: the lowest and highest value accepted of each measure.
 
-    From all documents that pass the base rules. The measures are counted in bins of BIN, so
-    what is shuffled and ordered is a bounded number of bins per band and never documents. A
+    From all documents that pass the base rules, each different text counted once however often
+    it repeats: rows of equal words have equal measures. What is shuffled for that is a digest and the
+    bins for each text; what is ordered is a bounded number of bins per band and never documents. A
     band goes from the median down and up by `widen` times the distance to the quartiles, and
-    by LEAST_WIDTH at least.
+    by the measure's LEAST_WIDTHS at least.
     """
     passed = measured.where("n_tokens > 0 and not base_failed")
     bins = [F.floor(F.col(m) / BIN).cast("long").alias(m) for m in MEASURES]
     counted = (
-        passed.select("band", _length().alias("length"), *bins)
+        passed.select("band", _length().alias("length"), "digest", *bins)
+        .distinct()
+        .drop("digest")
         .unpivot(["band", "length"], list(MEASURES), "measure", "bin")
         .groupBy("band", "length", "measure", "bin")
         .count()
@@ -196,8 +203,11 @@ def bands(measured: DataFrame, widen: float = WIDEN) -> DataFrame:
     ranked = counted.withColumn("upto", F.sum("count").over(whole.orderBy("bin")) / F.sum("count").over(whole))
     at = {name: F.min(F.when(F.col("upto") >= q, F.col("bin"))) for name, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75))}
     points = ranked.groupBy("band", "length", "measure").agg(*[v.alias(k) for k, v in at.items()])
-    least = F.col("mid") - F.greatest(F.lit(widen) * (F.col("mid") - F.col("low")), F.lit(LEAST_WIDTH / BIN))
-    most = F.col("mid") + F.greatest(F.lit(widen) * (F.col("high") - F.col("mid")), F.lit(LEAST_WIDTH / BIN)) + 1
+    width = F.lit(None)
+    for m, w in LEAST_WIDTHS.items():
+        width = F.when(F.col("measure") == m, w / BIN).otherwise(width)
+    least = F.col("mid") - F.greatest(F.lit(widen) * (F.col("mid") - F.col("low")), width)
+    most = F.col("mid") + F.greatest(F.lit(widen) * (F.col("high") - F.col("mid")), width) + 1
     limits = points.select("band", "length", "measure", (least * BIN).alias("least"), (most * BIN).alias("most"))
     return limits.groupBy(F.col("band").alias("_band"), F.col("length").alias("_length")).agg(
         *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("least", "most")]
@@ -222,5 +232,5 @@ def judge(docs: DataFrame, model: str, **columns) -> DataFrame:
     return (
         measured.join(limits, (F.col("band") == F.col("_band")) & (_length() == F.col("_length")), "left")
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .drop("_band", "_length", *[f"{m}_{side}" for m in MEASURES for side in ("least", "most")])
+        .drop("digest", "_band", "_length", *[f"{m}_{side}" for m in MEASURES for side in ("least", "most")])
     )

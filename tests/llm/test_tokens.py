@@ -195,6 +195,35 @@ def test_bands_reject_outliers(spark):
     assert not got.pop(999) and sum(got.values()) >= 295
 
 
+def test_copies_of_a_text_do_not_narrow_the_bands(spark):
+    """A third of all rows copies of one clean text, with white space of their own: what is kept stays the same."""
+    import random
+
+    draw = random.Random(5)
+    common = "the of and to in is was for that with as by on at from this which or are".split()
+    rare = "fertility notwithstanding quixotic albuminous zymurgy palimpsest".split()
+    rows = [(i, " ".join(draw.choices(common, k=60 - i % 30) + draw.choices(rare, k=i % 30)), "en") for i in range(200)]
+    copies = [(1000 + i, rows[15][1].replace(" ", " \n"[i % 2]), "en") for i in range(100)]
+    judged = lambda r: {x["doc_id"]: x["kept"] for x in fertility.judge(spark.createDataFrame(r, "doc_id long, text string, lang string"), PIECES).collect()}
+    alone, together = judged(rows), judged(rows + copies)
+    assert {k: together[k] for k in alone} == alone and sum(alone.values()) >= 195
+    assert {together[k] for k, *_ in copies} == {alone[15]}
+    row = lambda digest, c: (digest.encode(), "en", 64, 80, False, c, 0.0, 0.7)
+    spread = [row(f"{i}", 2 + i / 500) for i in range(200)]
+    limits = lambda r: fertility.bands(spark.createDataFrame(r, "digest binary, band string, n_words long, n_tokens long, base_failed boolean, chars_per_token double, byte_share double, entropy double")).collect()
+    assert limits(spread + [row("75", 2.15)] * 100) == limits(spread)
+
+
+def test_near_copies_leave_each_measure_its_least_width(spark):
+    row = lambda i, c: (f"{i}".encode(), "en", 64, 80, False, c, 0.0, 0.7)
+    measured = spark.createDataFrame([row(i, 2.2) for i in range(60)] + [row(100 + i, 2.0 + i / 100) for i in range(40)],
+                                     "digest binary, band string, n_words long, n_tokens long, base_failed boolean, chars_per_token double, byte_share double, entropy double")
+    (limits,) = fertility.bands(measured).collect()
+    for m, least in fertility.LEAST_WIDTHS.items():
+        assert limits[f"{m}_most"] - limits[f"{m}_least"] >= 2 * least - fertility.BIN
+    assert limits["chars_per_token_least"] < 2.06
+
+
 def test_repeated_windows_survive_hash_collisions(monkeypatch):
     monkeypatch.setattr(fertility, "_MIX", np.zeros(5, np.uint64))  # all windows of a document share a hash
     codes = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 1, 1, 1, 1])
