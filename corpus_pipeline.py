@@ -13,6 +13,8 @@ from curvekit.llm.queries import PIECES
 from curvekit.session import materialize
 
 ROW = "_row"
+#: Near duplicates share this much of their shingles of so many words; op4's own query has other values.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts: the smallest doc_id."""
     named = _named(docs)
-    found = jaccard.similar_documents(named, key=ROW).select(
+    found = jaccard.similar_documents(named, key=ROW, words=NEAR_WORDS, percent=NEAR_PERCENT).select(
         F.col("doc_id").alias(ROW), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")
     )
     ids = named.select(ROW, F.col("doc_id").alias("_id"))

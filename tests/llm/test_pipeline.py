@@ -74,6 +74,32 @@ def test_near_dedup(spark, docs):
     assert after == Counter(best.values())
 
 
+def test_near_dedup_at_five_words_and_80_percent(spark):
+    """Against brute force, with pairs around 0.8: a block added, words replaced here and there."""
+    draw, rows = random.Random(11), []
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    for i in range(24):
+        base = [word() for _ in range(200)]
+        rows.append((10 * i, " ".join(base)))
+        rows.append((10 * i + 1, " ".join(base + [word() for _ in range(20 + 3 * i)])))
+        for at in draw.sample(range(20), 4 + i % 6):
+            base[10 * at] = word()
+        rows.append((10 * i + 2, " ".join(base)))
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in pipeline.near_dedup(spark, frame, "").collect()}
+    sets = [sets_by_words(t, 5) for _, t in rows]
+
+    def stays(percent):
+        group = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                    group = [group[j] if g == group[i] else g for g in group]
+        return {min(k for g, (k, _) in zip(group, rows) if g == top) for top in group}
+
+    assert got == stays(80) and got < stays(90) and len(got) > 24
+
+
 def test_mix_sources(spark, docs):
     before, after = as_rows(docs), as_rows(pipeline.mix_sources(spark, docs, ""))
     assert all(r in before and n <= 2 * before[r] for r, n in after.items())
