@@ -108,7 +108,8 @@ def _end_of(found: list, at: int) -> int:
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, value, in article) of what is left when comments, scripts and marked elements are gone.
 
-    kind is "text", "open" or "close"; the tags of the article itself count as outside.
+    kind is "text", "open" or "close"; the tags of the outermost article or main element itself count
+    as outside, those nested in it as inside.
     """
     found, out, article, at = _matches(page), [], 0, 0
     while at < len(found):
@@ -117,8 +118,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             at = _end_of(found, at)
             continue
         if kind != "text" and value in CONTENT:
-            out.append((kind, value, False))
-            article = article + 1 if kind == "open" else max(0, article - 1)
+            after = article + 1 if kind == "open" else max(0, article - 1)
+            out.append((kind, value, min(article, after) > 0))
+            article = after
         else:
             out.append((kind, value, article > 0))
         at += 1
@@ -177,15 +179,15 @@ def fit_weights(pages: DataFrame, key: str = "page_id", page: str = "html", boun
 def extract(page: str, weights: dict[str, float]) -> str:
     """The main text: the run of tokens of the largest sum, words positive and tags negative.
 
-    Tags inside an article that the page marks count next to nothing, so all of it stays;
-    text outside is not looked at then, unless the article has no word.
+    Tags inside an article that the page marks count next to nothing, so none of its parts is
+    lost; its own tags and all tags outside have their penalties, and words score 1 anywhere.
     """
     found = tokens(page)
     scores = []
     marked = any(inside and kind == "text" and not value.isspace() for kind, value, inside in found)
     for kind, value, inside in found:
         if kind == "text":
-            scores.append(len(value.split()) if inside or not marked else 0.0)
+            scores.append(len(value.split()))
         elif marked and inside:
             scores.append(-1e-9)
         else:

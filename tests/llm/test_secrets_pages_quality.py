@@ -104,6 +104,21 @@ def test_header_inside_an_article_stays():
     assert main_text.extract(page, {}) == "Kept title\n" + TEXT
 
 
+#: As fitted where articles are marked: their own tags are seen outside only.
+FITTED = {**main_text._DEFAULT, "article": main_text.LARGEST, "main": main_text.LARGEST, "p": main_text.SMALLEST, "h1": main_text.SMALLEST}
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize(("content", "want"), [
+    (f"<main><h1>Title of just five words</h1><article><p>{LONG}</p></article></main>", f"Title of just five words\n{LONG}"),
+    (f"<main><article><p>A short first one</p></article><article><p>{LONG}</p></article><article><p>And a last one</p></article></main>", f"A short first one\n{LONG}\nAnd a last one"),
+    (f'<div class="body"><p>{LONG}</p><p>{LONG}</p></div><article><p>A teaser of few words</p></article>', f"{LONG}\n{LONG}"),
+    (f"<p>Some words before</p><article><p>{LONG}</p></article><p>Some words behind</p>", LONG),
+])
+def test_marked_pages_other_than_one_lone_article(content, want):
+    assert main_text.extract(f"<html><body>{content}</body></html>", FITTED) == want
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<p></p>", "<", "<<<>>>", "<!-- open", "<script>x", "<nav>menu only", "&nbsp;"])
 def test_pages_without_text(page):
     assert main_text.extract(page, {}) in ("", "<<", "<", "<<<>>>", ">>")
