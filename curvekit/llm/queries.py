@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvekit.llm import bayes, content_sort, cube, fertility, fill_middle, frames, jaccard, main_text, merkle, pieces, rendezvous, secrets
+from curvekit.llm import bayes, content_sort, cube, fertility, fill_middle, frames, jaccard, main_text, merkle, minhash, pieces, rendezvous, secrets
 from curvekit.session import scratch_path
 
 SHARDS = 8
@@ -77,6 +77,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cube_mix": op9_cube_mix,
     "op10_content_sort": op10_content_sort,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_classes": op12_minhash_classes,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -170,6 +176,30 @@ ORACLES: dict[str, str] = {
         select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, digest as folded_root, digest = root as verified
         from folded join ordered on folded.source is not distinct from ordered.source
             cross join (select nodes[1] as root from tops where len(nodes) = 1)""",
+    "op12_minhash_classes": r"""
+        with recursive words as (
+            select doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') as w
+            from documents
+        ), sets as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+            from words
+        ), entries as (
+            select doc_id, len(s) as n, unnest(s) as shingle from sets
+        ), links as (
+            select a.doc_id as x, b.doc_id as y from entries a join entries b using (shingle)
+            where a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach as (
+            select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x
+        ), least_of as (
+            select x, min(y) as y from reach group by x
+        )
+        select doc_id, len(s) as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id,
+            doc_id = least(doc_id, coalesce(y, doc_id)) as kept
+        from sets left join least_of on doc_id = x""",
     "op13_fill_middle": r"""
         with tokens as (
             select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t,
