@@ -4,10 +4,12 @@ A set's signature are the minima of HASHES universal hash functions over its shi
 sets that agree in a band are in one bucket. Pairs of a bucket are verified twice: by one bit of each
 minimum, which bounds the similarity from above with a stated risk, and what is left on the full sets.
 
-Each different set is one node, so exact copies meet nobody. No bucket is expanded into its pairs. At first each node meets one
-pivot; what is found linked is joined into classes, and buckets of one class are closed. In the others, a few
-pivots each meet the rest, and in the end the members of all classes but a bucket's largest do: then every pair of
-two classes has been compared, and no link that could join them is left.
+Each different set is one node, so exact copies meet nobody. At first each node meets one pivot; what is found linked is
+joined into classes, and buckets of one class are closed. Of the others, those of a few entries are compared
+whole. A larger one is not expanded into its pairs: its entries meet its most central one, and go on as their
+differences from it (shingles that one of the two has and the other has not). Two sets differ in what their differences do not
+share, so a link needs differences that share their rarest parts; only such entries meet. Every link between two classes of
+a bucket is found, and copies with edits of their own, however many, do not meet each other.
 """
 
 import hashlib
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from curvekit.llm.common import map_slices
 from curvekit.llm.jaccard import shingle_sets
@@ -28,8 +31,8 @@ ROWS, BANDS = 7, 36
 HASHES = 256
 #: Standard deviations beyond the mean at which a pair at the threshold counts as refuted by its signatures.
 DEVIATIONS = 7.5
-#: Pivots of a bucket in the middle round, entries of a bucket's part, and parts of a pivot's partners.
-PIVOTS, PART, SALTS = 8, 512, 32
+#: Entries of a bucket that is compared whole, entries asked for a bucket's centre, and parts of a node's partners.
+WHOLE, ASKED, SALTS = 16, 64, 32
 SEED = 20
 #: Shingles hashed at once: what fits in a core's cache.
 CHUNK = 1 << 14
@@ -130,9 +133,14 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """Entries (key, node, n, sketch, class) of the buckets that hold more than one node."""
+    """Entries (key, node, n, sketch, class) of the buckets that hold more than one node.
+
+    The keys are written first: while they are few the planner broadcasts them, and no entry is shuffled again.
+    """
     entries = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("key")
+    shared = materialize(
+        entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "minhash-keys"
+    )
     found = materialize(entries.join(shared, "key"), "minhash-entries")
     known = nodes.select("node", "n", *_LANES, F.col("node").alias("class"))
     return materialize(found.join(known, "node"), "minhash-buckets")
@@ -164,38 +172,95 @@ def _first_pairs(entries: DataFrame, percent: int) -> DataFrame:
     pivots = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), *fields)).alias("p")).select("key", "p.*")
     met = entries.join(_as_pivots(pivots), "key").where(_may_link(percent))
     chosen = met.groupBy("node").agg(F.min(F.struct(F.xxhash64("p_node").alias("h"), "p_node")).alias("p"))
-    return _ordered(chosen.select("node", "p.p_node")).distinct()
+    return chosen.select(F.col("node").alias("a"), F.col("p.p_node").alias("b"))
 
 
-def _some_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries of each bucket with PIVOTS of it."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
-    fields = ["node", "n", "class", *_LANES]
-    pivots = entries.groupBy("key", slot).agg(F.min(F.struct(F.xxhash64("node").alias("h"), *fields)).alias("p"))
-    return _ordered(entries.join(_as_pivots(pivots.select("key", "p.*")), "key").where(_may_link(percent))).distinct()
+def _pairs_of_small(entries: DataFrame, percent: int) -> DataFrame:
+    """Every pair of two classes of a bucket that may be linked."""
+    met = entries.join(_as_pivots(entries), "key").where(F.col("node") < F.col("p_node")).where(_may_link(percent))
+    return met.select(F.col("node").alias("a"), F.col("p_node").alias("b")).distinct()
 
 
-def _all_pairs_left(entries: DataFrame, percent: int) -> DataFrame:
-    """Every pair of two classes of a bucket that may be linked: all classes but the largest meet the others.
+def _centres(entries: DataFrame) -> DataFrame:
+    """(key, pivot): the entry whose sketch is nearest to the majority of ASKED entries' sketches, bit by bit.
 
-    Buckets are dealt into parts of about PART entries, and the pivots go to each part.
+    Any entry would do; a central one has small differences.
     """
-    sizes = entries.groupBy("key", "class").agg(F.count(F.lit(1)).alias("m"))
-    parts = materialize(
-        sizes.groupBy("key").agg(
-            F.max(F.struct("m", "class"))["class"].alias("largest"), F.ceil(F.sum("m") / PART).cast("int").alias("parts")
-        ),
-        "minhash-parts",
-    )
-    known = entries.join(parts, "key")
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    pivots = known.where("class != largest").select("*", part)
-    dealt = known.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    return _ordered(dealt.join(_as_pivots(pivots, "part"), ["key", "part"]).where(_may_link(percent))).distinct()
+    slot = F.pmod(F.xxhash64("node"), F.lit(ASKED)).alias("slot")
+    some = entries.groupBy("key", slot).agg(F.min(F.struct("node", *_LANES)).alias("p"))
+    lists = some.groupBy("key").agg(*[F.collect_list(f"p.{lane}").alias(lane) for lane in _LANES])
+
+    def majority(batches):
+        for batch in batches:
+            out = []
+            for lanes in zip(*(batch.column(lane).to_pylist() for lane in _LANES)):
+                words = np.ascontiguousarray(np.array(lanes, "<i8").T)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                half = (2 * bits.sum(axis=0, dtype=np.int64) > len(words)).astype(np.uint8)
+                out.append(np.packbits(half, bitorder="little").view("<i8").tolist())
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[] for _ in _LANES])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", *[f"c_{lane}" for lane in _LANES]])
+
+    centre = lists.mapInArrow(majority, ", ".join(["key long", *[f"c_{lane} long" for lane in _LANES]]))
+    away = sum((F.bit_count(F.col(lane).bitwiseXOR(F.col(f"c_{lane}"))) for lane in _LANES), F.lit(0))
+    nearest = entries.join(materialize(centre, "minhash-centres"), "key")
+    best = F.min(F.struct(away.alias("away"), F.xxhash64("node").alias("h"), "node"))
+    return nearest.groupBy("key").agg(best.alias("p")).select("key", F.col("p.node").alias("pivot"))
+
+
+def _differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b) of a node and its pivot with linked, n, p_n and the shingles that only one of them has."""
 
+    def work():
+        def one(part):
+            out = {"linked": [], "n": [], "p_n": [], "differ": []}
+            for raw in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
+                a, b = (np.frombuffer(x, "<u8") for x in raw)
+                differ = np.setxor1d(a, b, True)
+                out["n"].append(len(a))
+                out["p_n"].append(len(b))
+                out["linked"].append((100 + percent) * len(differ) <= (100 - percent) * (len(a) + len(b)))
+                out["differ"].append(differ.view("<i8").tolist())
+            return out | {"a": part.column("a"), "b": part.column("b")}
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
+        return one
+
+    schema = "a long, b long, linked boolean, n long, p_n long, differ array<bigint>"
+    return materialize(map_slices(_with_sets(met, sets), work, schema), "minhash-differences")
+
+
+def _pairs_by_differences(differences: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes with one pivot whose differences from it may share enough for a link.
+
+    Sets of n and m shingles are linked if they differ in no more than q (n + m) of them, where q = (100 - percent) /
+    (100 + percent); differences of s and t shingles must thus share (s + t - q (n + m)) / 2 of them. A node that is not linked with
+    the pivot has s > q (n + n of the pivot), which bounds what a partner must share with it: at least `share`. In
+    an order with rare shingles first, the partner's first t - share + 1 hold one of the shared ones; of a partner
+    that is not linked with the pivot either, so do this node's own first ones. If it is the first shared one, what
+    stands behind it on both sides must be enough. Nodes linked with the pivot are in one class and need not meet.
+    """
+    up, down = 100 + percent, 100 - percent
+    shingles = differences.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "n", "p_n", "linked", F.size("differ").alias("s"), F.explode("differ").alias("shingle"))
+    often = shingles.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    rare_first = Window.partitionBy("pivot", "node").orderBy("often", "shingle")
+    share = F.greatest(F.floor((up * F.col("s") + down * (F.col("p_n") - F.col("n"))) / (2 * up)) + 1, F.lit(1))
+    placed = (
+        shingles.join(often, ["pivot", "shingle"])
+        .withColumn("place", F.row_number().over(rare_first) - 1)
+        .withColumn("early", F.col("place") <= F.col("s") - share)
+        .where(~F.col("linked") | F.col("early"))
+        .join(classes, "node")
+        .select("pivot", "shingle", "node", "n", "s", "linked", "place", "early", "class")
+    )
+    placed = materialize(placed, "minhash-placed")
+    this = placed.where(~F.col("linked"))
+    that = placed.where("early").select("pivot", "shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "s", "linked", "place", "class")])
+    behind = F.least(F.col("s") - F.col("place"), F.col("p_s") - F.col("p_place"))
+    enough = 2 * up * behind >= up * (F.col("s") + F.col("p_s")) - down * (F.col("n") + F.col("p_n"))
+    sizes = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    turn = F.col("p_linked") | (F.col("early") & (F.col("node") < F.col("p_node")))
+    met = this.join(that, ["pivot", "shingle"]).where((F.col("class") != F.col("p_class")) & turn & sizes & enough)
+    return met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -213,8 +278,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return materialize(found.join(wanted.select("digest", "node"), "digest").select("node", "shingles"), "minhash-sets")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sets, sa and sb. Partners of one b are dealt into SALTS parts, each with its set."""
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    right = pairs.select("b", salt).distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return left.withColumn("salt", salt).join(right, ["b", "salt"]).select("a", "b", "sa", "sb")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. A node with many partners has them in SALTS parts."""
+    """Pairs (a, b) with `linked`: whether their full sets reach the threshold."""
 
     def work():
         def one(part):
@@ -229,16 +302,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return one
 
-    sides = []
-    for here, there, name in (("a", "b", "sa"), ("b", "a", "sb")):
-        salt = F.pmod(F.xxhash64(there), F.lit(SALTS)).alias(f"salt_{here}")
-        asked = pairs.select(here, salt).distinct()
-        sides.append(asked.join(sets.select(F.col("node").alias(here), F.col("shingles").alias(name)), here))
-    salted = pairs.select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt_a"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt_b")
-    )
-    whole = salted.join(sides[0], ["a", "salt_a"]).join(sides[1], ["b", "salt_b"]).select("a", "b", "sa", "sb")
-    return materialize(map_slices(whole, work, "a long, b long, linked boolean"), "minhash-confirmed")
+    return materialize(map_slices(_with_sets(pairs, sets), work, "a long, b long, linked boolean"), "minhash-confirmed")
 
 
 def alternating_stars(edges: DataFrame) -> DataFrame:
@@ -273,27 +337,34 @@ def _summary(edges: DataFrame):
 
 
 def _link(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Labels of all linked nodes but the labels themselves, or None where nothing is linked."""
-    labels, tested = None, None
-    for propose in (_first_pairs, _some_pairs, _all_pairs_left):
-        if entries.isEmpty():
-            break
-        pairs = propose(entries, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = _confirmed(materialize(pairs, "minhash-pairs"), sets, percent)
-        seen = checked.select("a", "b")
-        tested = seen if tested is None else tested.union(seen)
-        edges = checked.where("linked").select("a", "b")
-        if labels is not None:
-            edges = edges.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = alternating_stars(edges)
-        if propose is not _all_pairs_left:
-            of = labels.select(F.col("node").alias("_node"), "label")
-            moved = entries.join(of, F.col("node") == F.col("_node"), "left")
-            moved = moved.withColumn("class", F.coalesce("label", "node")).drop("_node", "label")
-            entries = materialize(_open(moved), "minhash-open")
-    return labels
+    """Labels of all linked nodes but the labels themselves, or None where there is no bucket."""
+    if entries.isEmpty():
+        return None
+    checked = _confirmed(materialize(_first_pairs(entries, percent), "minhash-pairs"), sets, percent)
+    labels = alternating_stars(checked.where("linked"))
+    of = labels.select(F.col("node").alias("_node"), "label")
+    moved = entries.join(of, F.col("node") == F.col("_node"), "left")
+    moved = moved.withColumn("class", F.coalesce("label", "node")).drop("_node", "label")
+    left = materialize(_open(moved), "minhash-open")
+    if left.isEmpty():
+        return labels
+
+    sizes = materialize(left.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "minhash-sizes")
+    small = left.join(sizes.where(F.col("m") <= WHOLE).select("key"), "key")
+    large = materialize(left.join(sizes.where(F.col("m") > WHOLE).select("key"), "key"), "minhash-large")
+    pairs = _pairs_of_small(small, percent)
+    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    if not large.isEmpty():
+        met = large.select("key", F.col("node").alias("a")).join(_centres(large), "key")
+        met = materialize(met.select("a", F.col("pivot").alias("b")).where("a != b").distinct(), "minhash-met")
+        differences = _differences(met, sets, percent)
+        edges = edges.union(differences.where("linked").select("a", "b"))
+        classes = large.select("node", "class").distinct()
+        pairs = pairs.union(_pairs_by_differences(differences, classes, percent)).distinct()
+    tested = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    linked = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
+    return alternating_stars(edges.union(linked))
 
 
 def near_duplicates(

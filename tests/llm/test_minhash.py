@@ -96,6 +96,31 @@ def test_large_group_takes_about_as_many_pairs_as_it_has_rows(spark, monkeypatch
     assert sum(compared) < 1200
 
 
+@pytest.mark.parametrize("whole", [2, 16])
+def test_large_group_of_unlike_variants_is_whole_and_not_quadratic(spark, monkeypatch, whole):
+    """Variants of one text with 0 to 9 edits, of which some are linked, by twos and threes, only with each other."""
+    monkeypatch.setattr(minhash, "WHOLE", whole)
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(5000)}" for _ in range(130)]
+    table = []
+    for k in range(500):
+        copy = list(base)
+        for at in draw.sample(range(130), k % 10):
+            copy[at] = f"edit{k}.{at}"
+        table.append((3 * k, " ".join(copy)))
+        if k % 25 == 9:  # a second copy with the same edits and one more
+            copy[draw.randrange(130)] = f"more{k}"
+            table.append((3 * k + 1, " ".join(copy)))
+        if k % 50 == 9:  # and one cut short
+            table.append((3 * k + 2, " ".join(copy[:-4])))
+    compared = []
+    confirmed = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    found = minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_force(table)
+    assert sum(compared) < 12 * len(table)
+
+
 def test_signatures_estimate_similarity():
     draw = random.Random(3)
     words = [f"w{draw.randrange(10**6)}" for _ in range(4000)]
