@@ -8,21 +8,27 @@ Each different set is one node, so exact copies meet nobody. At first each node
 joined into classes, and buckets of one class are closed. Of the others, those of a few entries are compared
 whole. A larger one is not expanded into its pairs: its entries meet its most central one, and go on as their
 differences from it (shingles that one of the two has and the other has not). Two sets differ in what their differences do not
-share, so a link needs differences that share their rarest parts; only such entries meet. Every link between two classes of
+share, so a link needs differences that share their first parts in an order with rare ones first; only such entries meet. Every link between two classes of
 a bucket is found, and copies with edits of their own, however many, do not meet each other.
 """
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curvekit.llm.common import map_slices
-from curvekit.llm.jaccard import shingle_sets
+from curvekit.llm.links import (
+    alternating_stars,
+    confirmed,
+    differences_from_centre,
+    gather_sets,
+    pairs_by_differences,
+    set_digest,
+    shingle_sets,
+)
 from curvekit.session import materialize
 
 WORDS, PERCENT = 5, 85
@@ -31,8 +37,8 @@ ROWS, BANDS = 7, 36
 HASHES = 256
 #: Standard deviations beyond the mean at which a pair at the threshold counts as refuted by its signatures.
 DEVIATIONS = 7.5
-#: Entries of a bucket that is compared whole, entries asked for a bucket's centre, and parts of a node's partners.
-WHOLE, ASKED, SALTS = 16, 64, 32
+#: Entries of a bucket that is compared whole, and entries asked for a bucket's centre.
+WHOLE, ASKED = 16, 64
 SEED = 20
 #: Shingles hashed at once: what fits in a core's cache.
 CHUNK = 1 << 14
@@ -107,7 +113,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 keys = band_keys(signatures).tolist()
             words_of = sketches(signatures)
             for at, i in enumerate(some):
-                out["digest"][i] = _digest(sets[i])
+                out["digest"][i] = set_digest(sets[i])
                 out["bands"][i] = keys[at]
                 for lane, value in zip(_LANES, words_of[at].tolist()):
                     out[lane][i] = value
@@ -119,10 +125,6 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return map_slices(docs, work, f"doc_id long, name long, n long, digest binary, bands array<bigint>, {lanes}")
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-
-
 def _nodes(rows: DataFrame) -> DataFrame:
     """One row for each different set, with a number of its own and the smallest key of its documents."""
     kept = ["n", "name", "bands", *_LANES]
@@ -208,139 +210,11 @@ def _centres(entries: DataFrame) -> DataFrame:
     return nearest.groupBy("key").agg(best.alias("p")).select("key", F.col("p.node").alias("pivot"))
 
 
-def _differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b) of a node and its pivot with linked, n, p_n and the shingles that only one of them has."""
-
-    def work():
-        def one(part):
-            out = {"linked": [], "n": [], "p_n": [], "differ": []}
-            for raw in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                a, b = (np.frombuffer(x, "<u8") for x in raw)
-                differ = np.setxor1d(a, b, True)
-                out["n"].append(len(a))
-                out["p_n"].append(len(b))
-                out["linked"].append((100 + percent) * len(differ) <= (100 - percent) * (len(a) + len(b)))
-                out["differ"].append(differ.view("<i8").tolist())
-            return out | {"a": part.column("a"), "b": part.column("b")}
-
-        return one
-
-    schema = "a long, b long, linked boolean, n long, p_n long, differ array<bigint>"
-    return materialize(map_slices(_with_sets(met, sets), work, schema), "minhash-differences")
-
-
-def _pairs_by_differences(differences: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes with one pivot whose differences from it may share enough for a link.
-
-    Sets of n and m shingles are linked if they differ in no more than q (n + m) of them, where q = (100 - percent) /
-    (100 + percent); differences of s and t shingles must thus share (s + t - q (n + m)) / 2 of them. A node that is not linked with
-    the pivot has s > q (n + n of the pivot), which bounds what a partner must share with it: at least `share`. In
-    an order with rare shingles first, the partner's first t - share + 1 hold one of the shared ones; of a partner
-    that is not linked with the pivot either, so do this node's own first ones. If it is the first shared one, what
-    stands behind it on both sides must be enough. Nodes linked with the pivot are in one class and need not meet.
-    """
-    up, down = 100 + percent, 100 - percent
-    shingles = differences.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "n", "p_n", "linked", F.size("differ").alias("s"), F.explode("differ").alias("shingle"))
-    often = shingles.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("often"))
-    rare_first = Window.partitionBy("pivot", "node").orderBy("often", "shingle")
-    share = F.greatest(F.floor((up * F.col("s") + down * (F.col("p_n") - F.col("n"))) / (2 * up)) + 1, F.lit(1))
-    placed = (
-        shingles.join(often, ["pivot", "shingle"])
-        .withColumn("place", F.row_number().over(rare_first) - 1)
-        .withColumn("early", F.col("place") <= F.col("s") - share)
-        .where(~F.col("linked") | F.col("early"))
-        .join(classes, "node")
-        .select("pivot", "shingle", "node", "n", "s", "linked", "place", "early", "class")
-    )
-    placed = materialize(placed, "minhash-placed")
-    this = placed.where(~F.col("linked"))
-    that = placed.where("early").select("pivot", "shingle", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "s", "linked", "place", "class")])
-    behind = F.least(F.col("s") - F.col("place"), F.col("p_s") - F.col("p_place"))
-    enough = 2 * up * behind >= up * (F.col("s") + F.col("p_s")) - down * (F.col("n") + F.col("p_n"))
-    sizes = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
-    turn = F.col("p_linked") | (F.col("early") & (F.col("node") < F.col("p_node")))
-    met = this.join(that, ["pivot", "shingle"]).where((F.col("class") != F.col("p_class")) & turn & sizes & enough)
-    return met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and full set (sorted 64-bit hashes) of the nodes in buckets, from the texts that their names lead to."""
-
-    def work():
-        def one(part):
-            sets = shingle_sets(part.column("text").to_pylist(), words)
-            return {"digest": [_digest(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}
-
-        return one
-
-    texts = docs.join(wanted.select("name").distinct(), "name", "left_semi").select("text")
-    found = map_slices(texts, work, "digest binary, shingles binary").dropDuplicates(["digest"])
-    return materialize(found.join(wanted.select("digest", "node"), "digest").select("node", "shingles"), "minhash-sets")
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both sets, sa and sb. Partners of one b are dealt into SALTS parts, each with its set."""
-    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    right = pairs.select("b", salt).distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return left.withColumn("salt", salt).join(right, ["b", "salt"]).select("a", "b", "sa", "sb")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with `linked`: whether their full sets reach the threshold."""
-
-    def work():
-        def one(part):
-            keep = []
-            for raw in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                a, b = (np.frombuffer(x, "<u8") for x in raw)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            return {"a": part.column("a"), "b": part.column("b"), "linked": keep}
-
-        return one
-
-    return materialize(map_slices(_with_sets(pairs, sets), work, "a long, b long, linked boolean"), "minhash-confirmed")
-
-
-def alternating_stars(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over edges (a, b), for all nodes but the labels themselves.
-
-    Large-star hands the larger neighbours of a node to the smallest one around it, small-star the
-    node and its smaller neighbours; both keep what is connected. Alternated until nothing changes, they leave a star around
-    each label.
-    """
-    current = materialize(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars"
-    )
-    seen = _summary(current)
-    while True:
-        around = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large-stars")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
-        small = moved.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        current = materialize(small.distinct(), "small-stars")
-        now = _summary(current)
-        if now == seen:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        seen = now
-
-
-def _summary(edges: DataFrame):
-    """Number and a combined hash of all edges: equal where nothing has changed."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
-
-
 def _link(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Labels of all linked nodes but the labels themselves, or None where there is no bucket."""
     if entries.isEmpty():
         return None
-    checked = _confirmed(materialize(_first_pairs(entries, percent), "minhash-pairs"), sets, percent)
+    checked = confirmed(materialize(_first_pairs(entries, percent), "minhash-pairs"), sets, percent)
     labels = alternating_stars(checked.where("linked"))
     of = labels.select(F.col("node").alias("_node"), "label")
     moved = entries.join(of, F.col("node") == F.col("_node"), "left")
@@ -357,13 +231,13 @@ def _link(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
     if not large.isEmpty():
         met = large.select("key", F.col("node").alias("a")).join(_centres(large), "key")
         met = materialize(met.select("a", F.col("pivot").alias("b")).where("a != b").distinct(), "minhash-met")
-        differences = _differences(met, sets, percent)
+        differences = differences_from_centre(met, sets, percent)
         edges = edges.union(differences.where("linked").select("a", "b"))
         classes = large.select("node", "class").distinct()
-        pairs = pairs.union(_pairs_by_differences(differences, classes, percent)).distinct()
+        pairs = pairs.union(pairs_by_differences(differences, classes, percent)).distinct()
     tested = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-    linked = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
+    linked = confirmed(pairs, sets, percent).where("linked").select("a", "b")
     return alternating_stars(edges.union(linked))
 
 
@@ -387,7 +261,7 @@ def near_duplicates(
     nodes = _nodes(rows)
     entries = _buckets(nodes)
     wanted = nodes.select("node", "digest", "name").join(entries.select("node").distinct(), "node", "left_semi")
-    labels = _link(entries, _sets(chosen, materialize(wanted, "minhash-wanted"), words), percent)
+    labels = _link(entries, gather_sets(chosen, materialize(wanted, "minhash-wanted"), words), percent)
 
     classes = nodes.select("digest", "node", "least", "copies").withColumn("class", F.col("node"))
     if labels is not None:
