@@ -104,31 +104,40 @@ def evidence(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _prior_weight(sites: DataFrame, overall: float) -> float:
+def _prior_weight(sites: DataFrame) -> float:
     """Weight of the prior by moments: how much less rates differ between sites than labels do.
 
-    The variance between sites is what the observed one has beyond chance, so the weight is
-    large where sites are alike and small where they differ.
+    sites(parent, good, n): sites are compared with their own parent's rate, so that differences between parents
+    do not count. The variance between the sites of a parent is what the observed one has beyond chance, pooled over the
+    parents; the weight is large where sites are alike and small where they differ.
     """
-    m = sites.agg(
-        F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.lit(overall), 2)).alias("ss"),
+    parents = sites.groupBy("parent").agg(
+        F.sum("good").alias("g"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sites"), F.sum(F.pow("n", F.lit(2.0))).alias("n2"),
+        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("squares"),
+    )
+    rate = F.col("g") / F.col("n")
+    chance = rate * (1 - rate)
+    m = parents.agg(
+        F.sum(F.col("squares") - F.col("g") * rate).alias("ss"),  # n (rate of the site - rate of the parent)^2
+        F.sum((F.col("sites") - 1) * chance).alias("expected"),
+        F.sum(F.col("n") - F.col("n2") / F.col("n")).alias("spread"),
+        F.sum(F.col("n") * chance).alias("within"),
         F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("sites"),
-        F.sum(F.pow("n", F.lit(2.0))).alias("n2"),
+        F.max("sites").alias("most"),
     ).first()
-    if not m["n"] or m["sites"] < 2:
+    if not m["n"] or m["most"] < 2:
         return LEAST_PRIOR
-    within = overall * (1 - overall)
-    spread = m["n"] - m["n2"] / m["n"]
-    between = max(0.0, (m["ss"] - (m["sites"] - 1) * within) / spread) if spread > 0 else 0.0
-    return float(min(MOST_PRIOR, max(LEAST_PRIOR, within / between - 1 if between > 0 else MOST_PRIOR)))
+    within = m["within"] / m["n"]
+    between = max(0.0, (m["ss"] - m["expected"]) / m["spread"]) if m["spread"] > 0 else 0.0
+    return float(min(MOST_PRIOR, max(LEAST_PRIOR, within / between - 1 if between > 1e-12 else MOST_PRIOR)))
 
 
 def site_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
     """Posterior share of good documents per (host, path), and the global share.
 
     labelled(host, path, good). A path shrinks towards its host and a host towards the global
-    share, each by a weight estimated from the spread between sites.
+    share, each by a weight estimated from the spread between the sites of one parent. The counts and weights
+    are returned, too: good, n, host_good, host_n, path_weight, host_weight.
     """
     paths = materialize(
         labelled.groupBy("host", "path").agg(F.sum("good").cast("double").alias("good"), F.count(F.lit(1)).cast("double").alias("n")),
@@ -137,21 +146,25 @@ def site_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     overall = ((total["good"] or 0.0) + 1) / ((total["n"] or 0.0) + 2)
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
-    k = _prior_weight(hosts.select(F.col("host_good").alias("good"), F.col("host_n").alias("n")), overall)
-    k2 = _prior_weight(paths, overall)
-    shrunk = hosts.select(
-        F.col("host").alias("_host"), ((F.col("host_good") + k * overall) / (F.col("host_n") + k)).alias("host_rate")
-    )
-    return (
-        paths.join(shrunk, F.col("host").eqNullSafe(F.col("_host")))
-        .select(
-            "host",
-            "path",
-            "host_rate",
-            ((F.col("good") + F.lit(k2) * F.col("host_rate")) / (F.col("n") + k2)).alias("path_rate"),
-        ),
-        overall,
-    )
+    host_weight = _prior_weight(hosts.select(F.lit(0).alias("parent"), F.col("host_good").alias("good"), F.col("host_n").alias("n")))
+    path_weight = _prior_weight(paths.select(F.col("host").alias("parent"), "good", "n"))
+    known = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    known = known.withColumns({"host_weight": F.lit(host_weight), "path_weight": F.lit(path_weight)})
+    host_rate, path_rate = _rates(overall, F.lit(0.0), F.lit(0.0))
+    return known.withColumns({"host_rate": host_rate, "path_rate": path_rate}), overall
+
+
+def _rates(overall: float, own_n: Column, own_good: Column) -> tuple[Column, Column]:
+    """Shrunk rates of a host and a path from their counts, without `own_n` labels of which `own_good` are good.
+
+    Counts that are null stand for sites without labels.
+    """
+    zero = F.lit(0.0)
+    n, good = F.coalesce("n", own_n) - own_n, F.coalesce("good", own_good) - own_good
+    host_n, host_good = F.coalesce("host_n", own_n) - own_n, F.coalesce("host_good", own_good) - own_good
+    host_weight, path_weight = F.coalesce("host_weight", F.lit(1.0)), F.coalesce("path_weight", F.lit(1.0))
+    host_rate = (F.greatest(host_good, zero) + host_weight * overall) / (host_n + host_weight)
+    return host_rate, (F.greatest(good, zero) + path_weight * host_rate) / (n + path_weight)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, **columns) -> DataFrame:
@@ -160,7 +173,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, *
     labels(doc_id, quality): 1 good, 0 bad; the mean counts where a document has several, and
     rows without either value are left out. Posterior log odds are the site's log odds plus the
     tempered log-likelihood ratios of the features. Documents of a path without labels take
-    their host's rate, and of a host without labels the global rate. Without any label the
+    their host's rate, and of a host without labels the global rate. A labelled document's own label does not count in its
+    site's rates. Without any label the
     posterior is one half and everything is kept. A null text counts as empty; null host and path
     are sites of their own; repeated keys keep their rows. Other columns are not read.
     """
@@ -177,14 +191,16 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, *
     summed = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) * F.lit(TEMPER)
     rates, overall = site_rates(labelled)
     rates = materialize(rates, "site-rates")
-    of_host = materialize(rates.groupBy("host").agg(F.first("host_rate").alias("rate")), "host-rates")
-    sites = rates.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_rate")
-    hosts = of_host.select(F.col("host").alias("_g"), F.col("rate").alias("host_rate"))
-    joined = found.join(
-        sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left"
-    ).join(hosts, F.col("host").eqNullSafe(F.col("_g")), "left")
-    host_rate = F.coalesce("host_rate", F.lit(overall))
-    path_rate = F.coalesce("path_rate", host_rate)
+    of_host = rates.groupBy("host").agg(*[F.first(c).alias(c) for c in ("host_good", "host_n", "host_weight")])
+    sites = rates.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "good", "n", "path_weight")
+    hosts = materialize(of_host.withColumnRenamed("host", "_g"), "host-rates")
+    own = marks.select("doc_id", F.col("good").cast("double").alias("own_good"), F.lit(1.0).alias("own_n"))
+    joined = (
+        found.join(own, "doc_id", "left")
+        .join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left")
+        .join(hosts, F.col("host").eqNullSafe(F.col("_g")), "left")
+    )
+    host_rate, path_rate = _rates(overall, F.coalesce("own_n", F.lit(0.0)), F.coalesce("own_good", F.lit(0.0)))
     log_odds = _logit(path_rate) + summed
     quality = F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
     return joined.select(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -64,6 +65,57 @@ def test_training_counts_pairs(spark):
     assert got[at["a"], at["a"]] == pytest.approx(np.log((1 + a_random) / 4) - np.log(a_ordinary / 3))
 
 
+#: Strings that are no secrets, and that a model of lower-case prose takes for random.
+INNOCENT = [
+    "getUserProfileByEmailAddress2024", "MAX_BUFFER_SIZE_IN_BYTES_DEFAULT", "XMLHttpRequestUpload_ABCDEFGHIJK",
+    "https/www/example/com/articles/science/new-planets", "/usr/lib/python3/dist-packages/numpy", "2023-11-05-2023-11-06-2023", "-" * 32, "A" * 28,
+    "GmbH_Donaudampfschifffahrtsgesellschaft", "123e4567-e89b-12d3-a456-426614174000", "1234567890123456789012", "src/main/java/com/acme/OrderController",
+]
+
+
+@pytest.fixture(scope="module")
+def registered_model(spark):
+    """The model as the registered query trains it, on the smallest given table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = secrets.identifier_strings(spark, secrets.training_words(docs))
+    return secrets.train(secrets.random_strings(spark).union(secrets.ordinary_strings(docs)).union(names))
+
+
+def test_known_innocent_strings(registered_model):
+    assert [t for t in INNOCENT if secrets.is_secret(registered_model, t)] == []
+
+
+def test_recall_by_alphabet_and_length_and_precision_by_style(registered_model):
+    draws = np.random.default_rng(123)
+    for name, letters in secrets.ALPHABETS.items():
+        for length in (16, 20, 24, 32, 48, 64):
+            made = ["".join(np.array(list(letters))[draws.integers(0, len(letters), length)]) for _ in range(200)]
+            hits = sum(secrets.is_secret(registered_model, t) for t in made)
+            assert hits >= 180, (name, length, hits)
+    unseen = "quarterly weather museum bicycle kitchen painting harvest village mountain harbour lantern whisper garden orchard".split()
+    wrong = {}
+    for style, text in secrets.identifiers(unseen, 400, seed=77):
+        if len(text) >= secrets.LEAST_CANDIDATE:
+            many, bad = wrong.get(style, (0, 0))
+            wrong[style] = (many + 1, bad + secrets.is_secret(registered_model, text))
+    assert len(wrong) >= 15
+    assert all(bad <= 0.01 * many + 1 for many, bad in wrong.values()), wrong
+
+
+def test_many_base_spans_take_linear_time(spark, registered_model):
+    text = " ".join(f"token=abcdef{i} someOrdinaryIdentifier{i % 10}" for i in range(20000))
+    start = time.time()
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), registered_model).first()
+    assert row["n_assign"] == 20000 and row["n_random"] == 0 and time.time() - start < 20
+
+
+def test_candidates_beside_base_spans(spark, registered_model):
+    key = "Zk3vQ9xLm2Rt8YwPb6Nd4HsJ"
+    text = f"{key} token={key} {key}/{'0' * 30} {key}"
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), registered_model).first()
+    assert row["spans"] == f"random:0:24,assign:25:55,hex:81:111,random:112:136"
+
+
 def test_random_against_ordinary_held_out(spark):
     words = "internal request handler factory builder configuration manager service account default value index user name list".split()
     draw = random.Random(4)
@@ -187,6 +239,79 @@ def test_sparse_sites_shrink_towards_the_global_share(spark):
     assert 0.15 < by["one"] < overall
 
 
+def brute_rates(rows):
+    """Rates and posterior inputs of bayes, written out: {row: (host rate, path rate)} without the row's own label."""
+    total = len(rows)
+    overall = (sum(g for _, _, g in rows) + 1) / (total + 2)
+
+    def weight(groups):
+        """groups: lists of (good, n) of the sites of one parent."""
+        if not groups or max(map(len, groups)) < 2:
+            return bayes.LEAST_PRIOR
+        ss = expected = spread = within = count = 0.0
+        for sites in groups:
+            n = sum(m for _, m in sites)
+            r = sum(g for g, _ in sites) / n
+            ss += sum(m * (g / m - r) ** 2 for g, m in sites)
+            expected += (len(sites) - 1) * r * (1 - r)
+            spread += n - sum(m * m for _, m in sites) / n
+            within += n * r * (1 - r)
+            count += n
+        between = max(0.0, (ss - expected) / spread) if spread > 0 else 0.0
+        return min(bayes.MOST_PRIOR, max(bayes.LEAST_PRIOR, within / count / between - 1 if between > 1e-12 else bayes.MOST_PRIOR))
+
+    host, path = {}, {}
+    for h, p, g in rows:
+        for table, k in ((host, h), (path, (h, p))):
+            a, b = table.get(k, (0, 0))
+            table[k] = (a + g, b + 1)
+    k1 = weight([list(host.values())])
+    k2 = weight([[v for (x, _), v in path.items() if x == h] for h in host])
+
+    def rates(h, p, g=0, n=0):
+        hg, hn = host.get(h, (g, n))
+        pg, pn = path.get((h, p), (g, n))
+        of_host = (hg - g + k1 * overall) / (hn - n + k1)
+        return of_host, (pg - g + k2 * of_host) / (pn - n + k2)
+
+    return rates, k1, k2
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_rates_and_posteriors_equal_brute_force(spark, alike):
+    draw = random.Random(7)
+    rows, labels = [], []
+    for i in range(900):
+        host = f"h{i % 20}" if i % 50 else None
+        path = None if i % 31 == 0 else f"p{draw.randrange(4)}"
+        rate = 0.9 if i % 2 else 0.1
+        if not alike:
+            rate = abs(rate - 0.5 * (path == "p1"))
+        rows.append((i, draw.choice(["short text", "SHOUT! 12 ##", "a longer text of plain words " * 3]), host, path))
+        if i % 3:
+            labels.append((i, int(draw.random() < rate)))
+    rows += [(2000, "text of a new host", "new", "p1"), (2001, "text of a new path", "h1", "new"), (None, "no key", "h2", "p1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    known = dict(labels)
+    found = {r["doc_id"]: r for r in bayes.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    rates, k1, k2 = brute_rates([(h, p, known[i]) for i, _, h, p in rows if i in known])
+    assert (k2 > 50) == alike
+    for i, _, h, p in rows:
+        own = (known[i], 1) if i in known else (0, 0)
+        got = found[i]
+        want = rates(h, p, *own)
+        assert (got["host_rate"], got["path_rate"]) == pytest.approx(want, rel=1e-9)
+        odds = np.log(want[1] / (1 - want[1])) + got["evidence"]
+        assert got["quality"] == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-9)
+
+
+def test_alike_paths_of_unlike_hosts_shrink_fully(spark):
+    rows = [(f"h{h}", f"p{p}", int(i < (18 if h % 2 else 2))) for h in range(20) for p in range(5) for i in range(20)]
+    rates, _ = bayes.site_rates(spark.createDataFrame(rows, "host string, path string, good int"))
+    row = rates.first()
+    assert row["path_weight"] == bayes.MOST_PRIOR and row["host_weight"] == bayes.LEAST_PRIOR
+
+
 def test_classifier_edges(spark, awkward, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r["kept"] for r in bayes.classify(awkward, none).collect())
