@@ -179,8 +179,11 @@ def draw_balanced(units: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def row_key(columns: Sequence[str]) -> Column:
-    """Hash of whole rows: rows equal in all columns are one unit that is taken as often as it repeats."""
-    return F.xxhash64(*columns)
+    """Hash of whole rows: rows equal in all columns are one unit that is taken as often as it repeats.
+
+    Nulls count by their place, which the hash function alone would pass over.
+    """
+    return F.xxhash64(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])
 
 
 def mix(
@@ -193,7 +196,7 @@ def mix(
     source: str = "source",
     seed: int = 7,
 ) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target, taken, copies and `unit`, its hash.
+    """Per row of `docs`: doc_id, size, source_size, target, taken, copies, source and `unit`, its hash.
 
     A row is taken target / source_size times on average: the whole part for sure, the rest
     by balanced drawing, so no row is taken more than `most` times, rounded up. Null texts have size 0; null is
@@ -230,14 +233,17 @@ def mix(
         .groupBy(F.col("source").alias("stratum"), "unit")
         .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first(part).alias("p")),
         seed,
-    ).where("p = 1").select("unit", F.lit(1).alias("extra"))
+    ).where("p = 1").select("stratum", F.col("unit").alias("_unit"), F.lit(1).alias("extra"))
     copies = (F.floor("rate") + F.coalesce("extra", F.lit(0))).cast("long")
-    return known.join(drawn, "unit", "left").withColumn("copies", copies).select(
+    # A unit belongs to its source: two sources may have units of the same hash.
+    same = (F.col("unit") == F.col("_unit")) & F.col("source").eqNullSafe(F.col("stratum"))
+    return known.join(drawn, same, "left").withColumn("copies", copies).select(
         "doc_id",
         "size",
         "source_size",
         F.col("target"),
         (F.col("size") * F.col("copies")).alias("taken"),
         "copies",
+        "source",
         "unit",
     )

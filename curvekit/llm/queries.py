@@ -44,7 +44,8 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    samples = secrets.random_strings(spark).union(secrets.ordinary_strings(docs))
+    names = secrets.identifier_strings(spark, secrets.training_words(docs))
+    samples = secrets.random_strings(spark).union(secrets.ordinary_strings(docs)).union(names)
     return secrets.find_secrets(docs, secrets.train(samples))
 
 

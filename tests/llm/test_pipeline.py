@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from check import compare, connect
-from curvekit.llm import pieces
+from curvekit.llm import cube, pieces
 from curvekit.llm.queries import PIECES, QUERIES
 
 from .conftest import AWKWARD
@@ -107,6 +107,42 @@ def test_mix_sources(spark, docs):
     assert size(after) == pytest.approx(1.5 * size(before), rel=0.2)
 
 
+def test_stages_bear_any_further_column(spark):
+    """Columns called as the stages' own might be, a map, and rows that differ in them only."""
+    names = ["unit", "copies", "_row", "row_", "_row_", "_digest", "unit_", "source_", "copies_", "copy_", "id_", "sha_", "place_", "group", "last"]
+    base = [(*r, 0) for r in AWKWARD] + [(k, None if k % 2 else f"text of words {k} " * 9, "en" if k % 3 else None, None if k % 5 else "s", k) for k in range(50, 90)]
+    rows = [(*r, *[i % 3 for _ in names], {f"k{i % 2}": i, "z": None}) for i, r in enumerate(base)]
+    rows += [(*rows[0][:-1], {"other": 1}), rows[1], rows[-1], (*rows[-1][:-1], None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names) + ", extra map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    frozen = lambda f: Counter((*r[:-1], None if r[-1] is None else frozenset(r[-1].items())) for r in f.collect())
+    before = frozen(docs)
+    for _, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.schema == docs.schema
+        found = frozen(after)
+        assert found.keys() <= before.keys()
+        if stage is not pipeline.mix_sources:
+            assert found <= before
+    assert pipeline.encode(spark, docs, "").count() == len(rows)
+    again = [frozen(pipeline.exact_dedup(spark, docs.repartition(n), "")) for n in (1, 6)]
+    assert again[0] == again[1] and sum(again[0].values()) == len({norm(r[1]) for r in rows})
+
+
+def test_rows_of_null_text_and_null_source_are_told_apart(spark):
+    table = [(k % 400, None, "a b" if k % 3 else "c d", None, 0) for k in range(600)]
+    table += [(k % 400, "a b" if k % 3 else "c d", "en", None, 0) for k in range(600)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    swapped = [(k, None, "en", x, 0) for k, x, *_ in [(r[0], r[2]) for r in table[:600]]]
+    docs = spark.createDataFrame(swapped + table[600:], schema)
+    found = cube.mix(docs)
+    assert found.count() == 1200
+    null_source = [r for r in found.collect() if r.source is None]
+    assert sum(r.taken for r in null_source) == pytest.approx(null_source[0].target, abs=2)
+    mixed = pipeline.mix_sources(spark, docs, "")
+    assert mixed.where("source is null").count() == sum(r.copies for r in null_source)
+
+
 def test_encode(spark, docs):
     v = pieces.vocabulary(PIECES)
     encoder, decoder = pieces.Encoder(v), pieces.Decoder(v.texts)
@@ -138,4 +174,4 @@ def test_check_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
