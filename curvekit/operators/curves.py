@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curvekit import fixed_values as fv
 from curvekit.functions.numeric import error_rate, skip_nan
+from curvekit.session import materialize
 
 
 def _present(names: Sequence[str]) -> Column:
@@ -100,3 +101,59 @@ def mean_performance_and_share(
             F.avg(skip_nan("trainable_percentage")).alias("params"),
         )
     )
+
+
+#: Powers of two that share a bin of an exact sum, and the smallest bin; smaller values lose digits there.
+_BIN, _LEAST_BIN = 8, -118
+
+
+def _exact_total(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Sum of a double column per group whose last bit depends on the rows alone, not on their order.
+
+    Rows are binned by magnitude. In a bin all values are integers of at most 62 bits times one power
+    of two, so their partial sums are exact; only the few bins of a group are added as doubles, in order.
+    """
+    x = F.col(value)
+    size = F.floor(F.log2(F.abs(x)) / _BIN)
+    bin_ = F.when(x == 0, _LEAST_BIN).otherwise(F.greatest(size, F.lit(_LEAST_BIN))).cast("int")
+    units = (x * F.pow(F.lit(2.0), 54 - _BIN * F.col("_bin"))).cast("bigint").cast("decimal(20,0)")
+    sums = (
+        rows.where(F.abs(x) < float("inf"))
+        .withColumn("_bin", bin_)
+        .groupBy(*keys, "_bin")
+        .agg(F.sum(units).alias("_units"), F.count(F.lit(1)).alias("_rows"))
+    )
+    part = F.col("_units").cast("double") * F.pow(F.lit(2.0), _BIN * F.col("_bin") - 54)
+    parts = F.array_sort(F.collect_list(F.struct("_bin", part.alias("part"))))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["part"])
+    return sums.groupBy(*keys).agg(total.alias("total"), F.sum("_rows").alias("cnt"))
+
+
+def exact_learning_curve(
+    runs: DataFrame,
+    keys: Sequence[str] = ("method",),
+    size: str = "train_subset_size",
+    metric: str = "primary_metric",
+) -> DataFrame:
+    """learning_curve() whose values are the same to the last bit however the runs are partitioned.
+
+    Means come from exact sums. Deviations come from exact sums of squared distances to the mean, so the runs are
+    read twice, the second time with the (small) table of means. Infinite metrics are left out of the moments, as null
+    and NaN are; a point without any finite metric has null moments and a count of 0.
+    """
+    value = skip_nan(F.col(metric).cast("double"))
+    points = runs.where(_present([*keys, size])).select(*keys, F.col(size).cast("double").alias("n"), value.alias("_x"))
+    by = [*keys, "n"]
+    means = _exact_total(points, by, "_x").withColumn("mean", F.col("total") / F.col("cnt")).select(*by, "mean", "cnt")
+    means = materialize(means, "exact-means")
+    distance = F.col("_x") - F.col("mean")
+    squares = _exact_total(points.join(means, by).withColumn("_square", distance * distance), by, "_square")
+    spread = squares.select(*by, F.col("total").alias("_squares"))
+    std = F.when(F.col("cnt") > 1, F.sqrt(F.col("_squares") / (F.col("cnt") - 1)))
+    return (
+        points.select(*by).distinct()
+        .join(means, by, "left")
+        .join(spread, by, "left")
+        .select(*by, "mean", std.alias("std"), F.coalesce("cnt", F.lit(0).cast("bigint")).alias("cnt"))
+        .withColumn("error", error_rate(F.col("mean")))
+    )

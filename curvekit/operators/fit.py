@@ -109,8 +109,9 @@ def fit_power_law(
 ) -> DataFrame:
     """One fit per group of a learning curve (columns keys, n, error).
 
-    Returns keys, fit_status, a, b, c, r2, se_a, se_b, se_c, n_points and the arrays
-    sample_sizes, error_rates, fitted_values. A group that cannot be fitted keeps its
+    Returns keys, fit_status, a, b, c, r2, se_a, se_b, se_c, cov_ab, cov_ac, cov_bc, n_points
+    and the arrays sample_sizes, error_rates, fitted_values. The covariances are null where
+    the standard errors are infinite. A group that cannot be fitted keeps its
     row with null parameters and the reason in `fit_status`; null keys are dropped. A curve that
     is no written table is written first, as every step reads it. The points are spread over
     `partitions` (default: one per POINTS_PER_TASK points, however many that gives) by
@@ -160,6 +161,9 @@ def fit_power_law(
             if(a is null, null, sqrt(scale * try_divide(suu, a * a))) as se_b,
             if(a is null, null, if(scale < double('inf'), sqrt(scale * (det / k
                 + mu * mu * sww - 2 * mu * mw * suw + mw * mw * suu)), scale)) as se_c,
+            if(scale < double('inf'), scale * suw / a, null) as cov_ab,
+            if(scale < double('inf'), scale * (mw * suw - mu * sww), null) as cov_ac,
+            if(scale < double('inf'), scale * (mw * suu - mu * suw) / a, null) as cov_bc,
             bigint(k) as n_points,
             points.n as sample_sizes, points.error as error_rates,
             if(a is null, null, transform(points, p -> {power_law("p.n")})) as fitted_values

@@ -1,7 +1,7 @@
 """Prompts, label words, whitespace tokens, length budgets and padding."""
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,3 +120,46 @@ def pad(tokenised: DataFrame, length: int = 256, padding: str = "<pad>") -> Data
     return tokenised.withColumns({"attention_mask": mask, "input_ids": filled}).withColumn(
         "labels", F.col("input_ids")
     )
+
+
+def token_budget(
+    tokenised: DataFrame, placed: DataFrame, sizes: Sequence[int], max_length: int = 256
+) -> DataFrame:
+    """What a length budget costs each training subset: rows (task, seed, train_subset_size, ...).
+
+    `tokenised` has task, example_id and n_tokens (see tokenise), `placed` the places of
+    the examples per seed (see sampling.placed). Returned are the number of texts there (effective_n), all their
+    tokens, those kept under `max_length`, the shares of cut texts and of cut tokens, and the share
+    of padding when every text is padded to `max_length`. All sizes come from one aggregate, as subsets
+    are nested. Null texts count as texts without tokens.
+    """
+    n = F.coalesce("n_tokens", F.lit(0)).cast("bigint")
+    kept = F.least(n, F.lit(max_length))
+    reports = []
+    for size in sizes:
+        inside = F.col("place") <= size
+        count = lambda value: F.coalesce(F.sum(F.when(inside, value)), F.lit(0))  # noqa: B023, E731
+        reports.append(
+            F.struct(
+                F.lit(size).cast("bigint").alias("train_subset_size"),
+                F.count(F.when(inside, True)).alias("effective_n"),
+                count(n).alias("n_tokens"),
+                count(kept).alias("kept_tokens"),
+                count((n > max_length).cast("bigint")).alias("cut_texts"),
+            )
+        )
+    return (
+        placed.join(tokenised.select("task", "example_id", "n_tokens"), ["task", "example_id"])
+        .groupBy("task", "seed")
+        .agg(F.array(*reports).alias("reports"))
+        .select("task", "seed", F.explode("reports").alias("x"))
+        .select("task", "seed", "x.*")
+        .withColumns(
+            {
+                "cut_text_share": F.try_divide("cut_texts", "effective_n"),
+                "cut_token_share": F.try_divide(F.col("n_tokens") - F.col("kept_tokens"), F.col("n_tokens")),
+                "padding_share": 1 - F.try_divide(F.col("kept_tokens"), F.col("effective_n") * max_length),
+            }
+        )
+        .drop("cut_texts")
+    )

@@ -1,6 +1,8 @@
 """Writers: results, fit documents, run records, figure series."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +52,12 @@ def fit_document(
     The document is a single object with one entry per method, so only fits, keyed
     crossovers (pair, n_cross) and the list of methods are gathered; more than
     `DOCUMENT_ENTRIES` of them is an error, and such fits belong in a table (write_series).
-    Methods are listed in the order of their smallest `order` value.
+    Methods and fits are listed in the order of their smallest `order` value: by default the file
+    in which a method is first seen, for runs that scan_runs() has read, else the name. Fits of
+    several groups have a document of their own, see published_fit_document().
     """
+    if order is None and "source_file" in runs.columns:
+        order = "source_file"
     few = F.raise_error(F.lit("too many entries for one document; write them as a table"))
 
     def gathered(rows) -> Column:
@@ -66,8 +72,10 @@ def fit_document(
         F.transform(gathered(named), lambda m: m["method"]).alias("methods"),
     )
     entry = F.struct(*FIT_FIELDS, F.array("se_a", "se_b", "se_c").alias("perr"))
-    fitted = fits.where("a is not null").agg(
-        F.map_from_entries(gathered(F.struct(F.col("method"), entry.alias("fit")))).alias("fits")
+    listed = fits.where("a is not null").join(counted.select("method", "place"), "method", "left")
+    in_order = gathered(F.struct("place", "method", entry.alias("fit")))
+    fitted = listed.agg(
+        F.map_from_entries(F.transform(in_order, lambda x: F.struct(x["method"], x["fit"]))).alias("fits")
     )
     crossed = crossovers.agg(
         F.map_from_entries(gathered(F.struct("pair", "n_cross"))).alias("crossovers")
@@ -80,6 +88,30 @@ def fit_document(
     return whole.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def published_fit_document(
+    fits: DataFrame, by: Sequence[str] = ("architecture",), digits: int | None = None
+) -> DataFrame:
+    """One row with the fits of several groups as a flat map, the shape in which fits are published.
+
+    An entry is named by its groups, capitalised, and its method, joined by `_`, and holds a, b, c and R2, rounded
+    to `digits` where given. Entries are ordered by name; groups with a null name have no entry. More than
+    `DOCUMENT_ENTRIES` entries, and two of the same name, are errors.
+    """
+    few = F.raise_error(F.lit("too many entries for one document; write them as a table"))
+    values = [
+        (F.round(c, digits) if digits is not None else F.col(c)).alias(name)
+        for c, name in (("a", "a"), ("b", "b"), ("c", "c"), ("r2", "R2"))
+    ]
+    name = F.concat_ws("_", *[F.initcap(F.col(c)) for c in by], "method")
+    entries = F.sort_array(F.collect_list(F.struct(name.alias("name"), F.struct(*values).alias("fit"))))
+    present = [F.col(c).isNotNull() for c in (*by, "method", "a")]
+    return (
+        fits.where(reduce(and_, present))
+        .agg(F.when(F.count(F.lit(1)) > DOCUMENT_ENTRIES, few).otherwise(F.map_from_entries(entries)).alias("fits"))
+        .select(F.to_json("fits").alias("value"))
+    )
+
+
 def write_fit_document(document: DataFrame, path: str, mode: str = "overwrite") -> None:
     document.write.mode(mode).text(path)
 

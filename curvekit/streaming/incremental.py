@@ -12,9 +12,10 @@ from curvekit.operators.fit import SHIPPED_BOUNDS, Bounds, fit_written_curve
 from curvekit.operators.flatten import flatten_runs, with_numeric_metrics
 from curvekit.schema import RUN_RECORD
 from curvekit.sources.readers import RUN_FILES
+from curvekit.streaming import upserts
 
-#: Folder with the numbers of whole versions, and how many versions stay.
-PUBLISHED, KEPT_VERSIONS = "_published", 3
+#: How many versions stay of a table that is written whole.
+KEPT_VERSIONS = 3
 RUN_STAMP = r"(\d{8}_\d{6})$"
 
 
@@ -72,8 +73,7 @@ def _publish(table: DataFrame, target: str, batch: int, keep: int) -> None:
     """
     spark = table.sparkSession
     table.write.mode("overwrite").parquet(f"{target}/version={batch}")
-    named = spark.range(1).select(F.lit(batch).cast("bigint").alias("version"))
-    named.coalesce(1).write.mode("append").parquet(f"{target}/{PUBLISHED}")
+    upserts.publish(spark, target, batch)
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={batch - keep}")
     old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
@@ -125,6 +125,92 @@ def maintain_fits(
     return _start(learning_curve(runs, keys), "complete", checkpoint, refit, drain)
 
 
+def upsert_curve(
+    runs: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("method",), drain: bool = False
+) -> StreamingQuery:
+    """Keep the learning curve at `target` current in update mode: a batch writes the (keys, N) that it changed.
+
+    The state holds the moments of each (keys, N). What is written, and what is read of the state, follows the batch and not
+    the curve. current_curve() reads the result. Use one target per checkpoint.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        upserts.upsert(changed, target, [*keys, "n"], batch)
+        upserts.publish(changed.sparkSession, target, batch)
+
+    return _start(learning_curve(runs, keys), "update", checkpoint, write, drain)
+
+
+def current_curve(spark: SparkSession, target: str, keys: Sequence[str] = ("method",)) -> DataFrame:
+    """The newest curve kept by upsert_curve() or upsert_fits(), a row per (keys, N)."""
+    return upserts.rows_of(spark, target, [*keys, "n"])
+
+
+def upsert_fits(
+    runs: DataFrame,
+    curve_target: str,
+    fits_target: str,
+    checkpoint: str,
+    by: Sequence[str] = (),
+    bounds: Bounds = SHIPPED_BOUNDS,
+    drain: bool = False,
+) -> StreamingQuery:
+    """As upsert_curve(), and after each batch the fits of the groups (by, method) that it changed.
+
+    Only these groups' points are read and fitted; the fits of all others stay as they are. current_fits()
+    reads the result. Both tables are published when both are written.
+    """
+    keys = [*by, "method"]
+
+    def write(changed: DataFrame, batch: int) -> None:
+        spark = changed.sparkSession
+        upserts.upsert(changed, curve_target, [*keys, "n"], batch)
+        curve = upserts.rows_of(spark, curve_target, [*keys, "n"], batch)
+        groups = upserts.changed_in(spark, curve_target, batch).select(*keys).distinct()
+        points = curve.join(groups, keys, "left_semi").persist()
+        upserts.upsert(fit_written_curve(points, keys, bounds), fits_target, keys, batch)
+        points.unpersist()
+        upserts.publish(spark, curve_target, batch)
+        upserts.publish(spark, fits_target, batch)
+
+    return _start(learning_curve(runs, keys), "update", checkpoint, write, drain)
+
+
+def append_new_runs(
+    runs: DataFrame, target: str, checkpoint: str, key: str = "run_dir", drain: bool = False
+) -> StreamingQuery:
+    """Pass each run name once, however long ago it came: no watermark and no state, the result is the memory.
+
+    A batch looks its names up in what earlier batches have written. While the batch is small its names are
+    broadcast and the written table is scanned in one column, not shuffled. A batch that runs again sees the
+    versions before its own only. unique_runs() reads the result; rows without a name are dropped.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        arrived = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).persist()
+        new = arrived
+        if number:
+            names = arrived.select(key)
+            known = upserts.changes_of(spark, target, number - 1).select(key).join(names, key, "left_semi").distinct()
+            new = arrived.join(known, key, "left_anti")
+        upserts.upsert(new, target, [key], number)
+        upserts.publish(spark, target, number)
+        arrived.unpersist()
+
+    return _start(runs, "append", checkpoint, write, drain)
+
+
+def unique_runs(spark: SparkSession, target: str, key: str = "run_dir") -> DataFrame:
+    """The rows kept by append_new_runs()."""
+    return upserts.rows_of(spark, target, [key])
+
+
+def current_fits(spark: SparkSession, fits_target: str, by: Sequence[str] = ()) -> DataFrame:
+    """The newest fits kept by upsert_fits(), a row per (by, method), with columns as fit_power_law() has them."""
+    return upserts.rows_of(spark, fits_target, [*by, "method"])
+
+
 def append_runs(runs: DataFrame, target: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
     """Append rows to a Parquet table, exactly once."""
     writer = runs.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -135,5 +221,4 @@ def append_runs(runs: DataFrame, target: str, checkpoint: str, drain: bool = Fal
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
     """Newest published version of a maintained table; only its folder is read."""
-    newest = spark.read.parquet(f"{target}/{PUBLISHED}").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{target}/version={newest}")
+    return spark.read.parquet(f"{target}/version={upserts.published(spark, target)}")

@@ -187,3 +187,83 @@ roots AS (SELECT * EXCLUDE (lo, hi, step), {middle} AS n_cross FROM halving WHER
 crossings AS (
   SELECT {others}method, left_end, gap_low, gap_high, roots.n_cross FROM ends
   LEFT JOIN roots USING ({others}method, left_end, gap_low, gap_high))"""
+
+
+def covariances(keys: str = "method") -> str:
+    """CTEs ending in `covariances`: fits with the adjugate of their 3 x 3 normal matrix, scaled."""
+    return f"""
+normal AS (
+  SELECT {keys}, any_value(ssr) AS ssr, any_value(k) AS k, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+    sum(u * u) AS aa, sum(u * v) AS ab, sum(u) AS ac, sum(v * v) AS bb, sum(v) AS bc
+  FROM (SELECT *, pow(n, -b) AS u, -a * ln(n) * pow(n, -b) AS v FROM fits JOIN points USING ({keys}))
+  GROUP BY {keys}),
+covariances AS (
+  SELECT {keys}, a, b, c, s * (bb * k - bc * bc) AS v_aa, s * (aa * k - ac * ac) AS v_bb,
+    s * (aa * bb - ab * ab) AS v_cc, s * (ac * bc - ab * k) AS v_ab, s * (ab * bc - ac * bb) AS v_ac,
+    s * (ab * ac - aa * bc) AS v_bc
+  FROM (SELECT *, ssr / (k - 3) / (aa * (bb * k - bc * bc) - ab * (ab * k - bc * ac) + ac * (ab * bc - bb * ac)) AS s
+    FROM normal))"""
+
+
+SHIFT = 1e-5
+
+
+def perturbed_roots(by: str = "") -> str:
+    """CTEs ending in `spreads`: each root found again with every parameter moved up and down a little.
+
+    The standard error of ln N is the root of d' C d, where d are differences of ln N over those of the
+    parameters. Roots are found by bisection of ln N, near the root of the unmoved curves.
+    """
+    keys = f"{by}, method" if by else "method"
+    on = " AND ".join(f"f.{k} = g.{k}" for k in by.split(", ")) if by else "true"
+    picked = "".join(f"f.{k}, " for k in by.split(", ")) if by else ""
+    moved = ", ".join(
+        f"{side}{p} + CASE WHEN p = {i} THEN d * {SHIFT} ELSE 0 END AS {side}{p}"
+        for i, (side, p) in enumerate([(s, p) for s in ("", "base_") for p in "abc"])
+    )
+    gap = "(a * exp(-b * {x}) + c - base_a * exp(-base_b * {x}) - base_c)"
+    middle = "((lo + hi) / 2)"
+    d = ", ".join(f"max(x) FILTER (p = {i} AND d = 1) - max(x) FILTER (p = {i} AND d = -1) AS d{i}" for i in range(6))
+    pairs = {(0, 0): "aa", (1, 1): "bb", (2, 2): "cc", (0, 1): "ab", (0, 2): "ac", (1, 2): "bc"}
+    form = " + ".join(
+        f"{1 if i == j else 2} * d{i + at} * d{j + at} * {side}v_{name}"
+        for at, side in ((0, ""), (3, "base_")) for (i, j), name in pairs.items()
+    )
+    return f"""
+met AS (
+  SELECT {picked}f.method, f.* EXCLUDE ({keys}), g.a AS base_a, g.b AS base_b, g.c AS base_c,
+    {", ".join(f"g.v_{name} AS base_v_{name}" for name in pairs.values())}, n_cross
+  FROM covariances f JOIN covariances g ON {on} AND g.method = 'full_ft'
+  JOIN crossings r ON r.method = f.method {"".join(f" AND r.{k} = f.{k}" for k in by.split(", ")) if by else ""}
+  WHERE n_cross IS NOT NULL),
+moves AS (
+  SELECT {keys}, n_cross, p, d, {moved} FROM met CROSS JOIN range(6) i(p) CROSS JOIN (VALUES (1), (-1)) j(d)),
+sought AS (
+  SELECT *, ln(n_cross) - 0.3 AS lo, ln(n_cross) + 0.3 AS hi, sign({gap.format(x="(ln(n_cross) - 0.3)")}) AS at_low, 0 AS step FROM moves
+  UNION ALL
+  SELECT * EXCLUDE (lo, hi, at_low, step), CASE WHEN sign({gap.format(x=middle)}) = at_low THEN {middle} ELSE lo END,
+    CASE WHEN sign({gap.format(x=middle)}) = at_low THEN hi ELSE {middle} END, at_low, step + 1
+  FROM sought WHERE step < 50),
+differences AS (
+  SELECT {keys}, {d} FROM (SELECT *, (lo + hi) / 2 / (2 * {SHIFT}) AS x FROM sought WHERE step = 50) GROUP BY {keys}),
+spreads AS (
+  SELECT {keys}, n_cross, sqrt({form}) AS se_log_n FROM met JOIN differences USING ({keys}))"""
+
+
+def t_integral(source: str, columns: str) -> str:
+    """CTE `tailed`: rows of `source` (t, df) with p, the t density integrated over its tail and over all.
+
+    Both integrals are sums over a double exponential substitution; no gamma function takes part.
+    """
+    density = "exp(-(df + 1) / 2 * ln(1 + ({at}) * ({at}) / df))"
+    return f"""
+nodes AS (
+  SELECT exp(pi() / 2 * (exp(u) - exp(-u)) / 2) AS y,
+    (exp(u) + exp(-u)) / 2 * exp(pi() / 2 * (exp(u) - exp(-u)) / 2) AS w
+  FROM (SELECT i * 0.0125 AS u FROM range(-400, 441) g(i))),
+asked AS (SELECT DISTINCT abs(t) AS t0, df FROM {source} WHERE t IS NOT NULL AND df > 0),
+integrals AS (
+  SELECT t0, df, sum(w * {density.format(at="t0 + y")}) / sum(w * {density.format(at="y")}) AS p
+  FROM asked CROSS JOIN nodes GROUP BY t0, df),
+tailed AS (
+  SELECT {columns}, p FROM {source} s LEFT JOIN integrals i ON abs(s.t) = i.t0 AND s.df = i.df)"""

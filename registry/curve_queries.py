@@ -10,6 +10,7 @@ from curvekit.operators import fit as L
 from curvekit.operators import series as K
 from curvekit.operators import stats as Q
 from curvekit.operators.config import method_colour, method_label
+from curvekit.operators.fit_batch import fit_many_groups
 from curvekit.plans.analysis import analyse
 from curvekit.session import materialize, scratch_path
 from curvekit.sources import readers, writers
@@ -50,6 +51,20 @@ def learning_curve(spark, sf):
     return rounded(H.learning_curve(V.method_runs(spark, sf)))
 
 
+@query(
+    "h1_exact_learning_curve",
+    f"""WITH {S.METHOD_RUNS}, means AS (
+      SELECT method, train_subset_size, favg(primary_metric) AS mean FROM method_runs GROUP BY ALL)
+    SELECT method, CAST(train_subset_size AS DOUBLE) AS n, {r("any_value(mean)", 13)} AS mean,
+      {r("sqrt(fsum(pow(primary_metric - mean, 2)) / (count(primary_metric) - 1))", 13)} AS std,
+      count(primary_metric) AS cnt, {r("1 - any_value(mean)", 13)} AS error
+    FROM method_runs JOIN means USING (method, train_subset_size) GROUP BY method, train_subset_size""",
+)
+def exact_learning_curve(spark, sf):
+    """Thirteen digits are compared, as no order of summation takes part."""
+    return rounded(H.exact_learning_curve(V.method_runs(spark, sf)), 13)
+
+
 @query(
     "h1_learning_curve_by_task_model",
     f"""WITH {S.RUNS}, {S.curve("runs", "task_name, model_name, method")}
@@ -226,16 +241,55 @@ def fit_status(spark, sf):
 
 
 GROUPED = "task_name, seed, method"
+#: Smallest and largest value and squared error of each fit; a, b and c of flat curves hang together.
+FIT_CHECK = f"""{r("b", 2)} AS b, {r("r2", 4)} AS r2, n_points, {r("ssr", 8)} AS squared_error,
+      {r("a * pow(50, -b) + c", 4)} AS at_50, {r("a * pow(5000, -b) + c", 4)} AS at_5000"""
+
+
+def _fit_check(fits, *keys):
+    shown = fits.select(
+        *keys, "b", "r2", "n_points",
+        F.expr(
+            "aggregate(zip_with(error_rates, fitted_values, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"
+        ).alias("squared_error"),
+        F.expr(power_law("50D")).alias("at_50"),
+        F.expr(power_law("5000D")).alias("at_5000"),
+    )
+    return rounded(shown, 4, b=2, squared_error=8)
 
 
 @query(
     "l7_fit_all_groups",
     f"""WITH {S.RUNS}, {S.curve("runs", GROUPED)}, {S.fits(keys=GROUPED)}
-    SELECT {GROUPED}, {r("b", 2)} AS b, {r("r2", 4)} AS r2, n_points FROM fits""",
+    SELECT {GROUPED}, {FIT_CHECK} FROM fits""",
 )
 def fit_all_groups(spark, sf):
-    fits = analyse(V.runs(spark, sf), ["task_name", "seed"]).fits
-    return rounded(fits.select("task_name", "seed", "method", "b", "r2", "n_points"), b=2, r2=4)
+    return _fit_check(analyse(V.runs(spark, sf), ["task_name", "seed"]).fits, "task_name", "seed", "method")
+
+
+@query(
+    "l7_fit_all_groups_in_batches",
+    f"""WITH {S.RUNS}, {S.curve("runs", GROUPED)}, {S.fits(keys=GROUPED)}
+    SELECT {GROUPED}, {FIT_CHECK} FROM fits""",
+)
+def fit_all_groups_in_batches(spark, sf):
+    keys = ["task_name", "seed", "method"]
+    curve = materialize(H.learning_curve(V.runs(spark, sf), keys), "curve")
+    return _fit_check(fit_many_groups(curve, keys), *keys)
+
+
+@query(
+    "l7_fit_many_groups",
+    f"""WITH {S.METHOD_RUNS}, {S.curve("method_runs", "l_suppkey, method")},
+      {S.fits(keys="l_suppkey, method")}
+    SELECT l_suppkey, method, {r("r2", 4)} AS r2, n_points, {r("ssr", 8)} AS squared_error FROM fits""",
+)
+def fit_many(spark, sf):
+    """A fit for every supplier and method: as many groups as the table gives."""
+    keys = ["l_suppkey", "method"]
+    curve = materialize(H.learning_curve(V.supplier_runs(spark, sf), keys), "curve")
+    fits = fit_many_groups(curve, keys).where("fit_status <> 'too_few_points'")
+    return _fit_check(fits, *keys).select(*keys, "r2", "n_points", "squared_error")
 
 
 @query(
@@ -314,13 +368,74 @@ def all_crossovers(spark, sf):
       SELECT held_out, r.* FROM runs r JOIN (SELECT DISTINCT seed AS held_out FROM runs) ON r.seed <> held_out),
       {S.curve("left_out", "held_out, method")}, {S.fits(keys="held_out, method")}, {S.crossings("held_out")}
     SELECT method, count(*) AS n_refits, count(n_cross) AS n_found, {r("min(n_cross)", 1)} AS n_min,
-      {r("quantile_cont(n_cross, 0.5)", 1)} AS n_median, {r("max(n_cross)", 1)} AS n_max
+      {r("quantile_cont(n_cross, 0.5)", 1)} AS n_median, {r("max(n_cross)", 1)} AS n_max,
+      {r("quantile_disc(n_cross, 0.05)", 1)} AS n_05, {r("quantile_disc(n_cross, 0.95)", 1)} AS n_95
     FROM crossings GROUP BY method""",
 )
 def crossover_spread(spark, sf):
     return rounded(X.crossover_spread(V.runs(spark, sf)), 1)
 
 
+@query(
+    "x6_crossover_uncertainty",
+    f"""{CROSSED}, {S.covariances()}, {S.perturbed_roots()}
+    SELECT method, 'full_ft' AS baseline, {r("n_cross", 2)} AS n_cross, false AS degenerate,
+      {r("se_log_n", 4)} AS se_log_n, {r("ln(n_cross) - 1.959963984540054 * se_log_n", 3)} AS ln_low,
+      {r("ln(n_cross) + 1.959963984540054 * se_log_n", 3)} AS ln_high
+    FROM crossings LEFT JOIN spreads USING (method, n_cross)""",
+)
+def crossover_uncertainty(spark, sf):
+    return _bounds(X.crossover_uncertainty(_fits(spark, sf)))
+
+
+def _bounds(found, *by):
+    logs = found.withColumns({"ln_low": F.ln("n_low"), "ln_high": F.ln("n_high")})
+    columns = [*by, "method", "baseline", "n_cross", "degenerate", "se_log_n", "ln_low", "ln_high"]
+    return rounded(logs.select(*columns), 3, n_cross=1 if by else 2, se_log_n=3 if by else 4)
+
+
+@query(
+    "x6_crossover_uncertainty_by_task",
+    f"""WITH RECURSIVE {S.RUNS}, {S.curve("runs", "task_name, method")}, {S.fits(keys="task_name, method")},
+      {S.crossings("task_name")}, {S.covariances("task_name, method")}, {S.perturbed_roots("task_name")}
+    SELECT task_name, method, 'full_ft' AS baseline, {r("n_cross", 1)} AS n_cross, false AS degenerate,
+      {r("se_log_n", 3)} AS se_log_n, {r("ln(n_cross) - 1.959963984540054 * se_log_n", 3)} AS ln_low,
+      {r("ln(n_cross) + 1.959963984540054 * se_log_n", 3)} AS ln_high
+    FROM crossings LEFT JOIN spreads USING (task_name, method, n_cross)""",
+)
+def crossover_uncertainty_by_task(spark, sf):
+    by = ["task_name"]
+    return _bounds(X.crossover_uncertainty(analyse(V.runs(spark, sf), by).fits, by), *by)
+
+
+@query(
+    "x6_uncertainty_of_all_crossovers",
+    f"""{FITTED}, {S.crossings(bracket=TURNING)}, {S.covariances()}, {S.perturbed_roots()}
+    SELECT method, 'full_ft' AS baseline, {r("n_cross", 2)} AS n_cross, false AS degenerate,
+      {r("se_log_n", 4)} AS se_log_n, {r("ln(n_cross) - 1.959963984540054 * se_log_n", 3)} AS ln_low,
+      {r("ln(n_cross) + 1.959963984540054 * se_log_n", 3)} AS ln_high
+    FROM crossings JOIN spreads USING (method, n_cross)""",
+)
+def uncertainty_of_all_crossovers(spark, sf):
+    return _bounds(X.crossover_uncertainty(_fits(spark, sf), every_root=True))
+
+
+@query(
+    "l4_covariance",
+    f"""{FITTED}, {S.covariances()}
+    SELECT method, {r("v_ab / sqrt(v_aa * v_bb)", 4)} AS corr_ab, {r("v_ac / sqrt(v_aa * v_cc)", 4)} AS corr_ac,
+      {r("v_bc / sqrt(v_bb * v_cc)", 4)} AS corr_bc, {r("v_ab", 6)} AS cov_ab, {r("v_ac", 6)} AS cov_ac,
+      {r("v_bc", 6)} AS cov_bc FROM covariances""",
+)
+def covariance(spark, sf):
+    correlation = {
+        f"corr_{x}{y}": F.expr(f"cov_{x}{y} / (se_{x} * se_{y})") for x, y in ("ab", "ac", "bc")
+    }
+    columns = ["method", *correlation, "cov_ab", "cov_ac", "cov_bc"]
+    found = _fits(spark, sf).withColumns(correlation).select(*columns)
+    return rounded(found, corr_ab=4, corr_ac=4, corr_bc=4)
+
+
 EFFICIENCY = f"""WITH {S.METHOD_RUNS}, efficiency AS (
   SELECT method, CAST(train_subset_size AS DOUBLE) AS n, avg(primary_metric) AS perf,
     avg(trainable_percentage) AS params,
@@ -418,6 +533,30 @@ SELECT series, method, label, colour, {r("x", 2)} AS x, {r("y", 4)} AS y, {r("y_
   draw_order, text, {r("log10(x)", 4)} AS log_x FROM series"""
 
 
+GROUPED_SERIES = f"""WITH RECURSIVE {S.RUNS}, {S.curve("runs", "task_name, method")}, {S.fits(keys="task_name, method")},
+{S.crossings("task_name")}, spans_n AS (SELECT task_name, method, min(n) AS lo, max(n) AS hi FROM points GROUP BY ALL),
+series AS (
+  SELECT 'observed' AS series, task_name, method, {LABEL} AS label, {COLOUR} AS colour, n AS x, mean AS y,
+    std AS y_error, NULL::INTEGER AS draw_order, NULL::VARCHAR AS text FROM points
+  UNION ALL
+  SELECT 'fitted', task_name, method, {LABEL}, {COLOUR}, lo + i * (hi - lo) / 99,
+    1 - (a * pow(lo + i * (hi - lo) / 99, -b) + c), NULL, NULL, NULL
+  FROM fits JOIN spans_n USING (task_name, method) CROSS JOIN range(0, 100) g(i)
+  UNION ALL
+  SELECT 'mean', task_name, method, {LABEL}, {COLOUR}, n, mean, NULL, CASE method WHEN 'lora' THEN 1
+    WHEN 'bitfit' THEN 2 WHEN 'topheavy_lora' THEN 3 ELSE 4 END, NULL FROM points
+  UNION ALL
+  SELECT 'crossover', task_name, method || '_vs_full_ft', NULL, NULL, n_cross, NULL, NULL, NULL,
+    'N=' || CAST(CAST(round(n_cross) AS BIGINT) AS VARCHAR) FROM crossings WHERE n_cross IS NOT NULL)
+SELECT series, task_name, method, label, colour, {r("x", 1)} AS x, {r("y", 3)} AS y, {r("y_error", 4)} AS y_error,
+  draw_order, text, {r("log10(x)", 3)} AS log_x FROM series"""
+
+
+@query("k7_figure_series_by_task", GROUPED_SERIES)
+def figure_series_by_task(spark, sf):
+    return rounded(analyse(V.runs(spark, sf), ["task_name"]).figure_series, 4, x=1, y=3, log_x=3)
+
+
 @query("k7_figure_series", SERIES)
 def figure_series(spark, sf):
     return rounded(_analysis(spark, sf).figure_series, 4, x=2)
@@ -477,6 +616,23 @@ def fit_document(spark, sf):
     return rounded(rows, 3)
 
 
+BY_ARCHITECTURE = f"""WITH {S.METHOD_RUNS}, tagged AS (SELECT *, line_architecture AS architecture FROM method_runs),
+  {S.curve("tagged", "architecture, method")}, {S.fits(keys="architecture, method")}"""
+
+
+@query(
+    "s8_published_fit_document",
+    f"""{BY_ARCHITECTURE} SELECT architecture, method, {r("a", 3)} AS a, {r("b", 3)} AS b, {r("c", 3)} AS c,
+      {r("r2")} AS r2 FROM fits""",
+)
+def published_fit_document(spark, sf):
+    """Fits by architecture and method in one document, written and read back."""
+    path = scratch_path(spark, "published-fits")
+    done = analyse(V.method_runs(spark, sf), ["architecture"])
+    writers.write_fit_document(writers.published_fit_document(done.fits), path)
+    return rounded(readers.read_fits(spark, path).select("architecture", "method", "a", "b", "c", "r2"), a=3, b=3, c=3)
+
+
 @query(
     "s4_read_fits",
     f"{FITTED} SELECT method, {PARAMETERS}, n_points FROM fits",
@@ -497,14 +653,18 @@ def read_fits(spark, sf):
       SELECT a.task_name, a.model_name, a.n, a.method, a.mean - b.mean AS difference,
         a.std * a.std / a.cnt AS v, b.std * b.std / b.cnt AS w, a.cnt, b.cnt AS base_cnt
       FROM points a JOIN points b USING (task_name, model_name, n)
-      WHERE b.method = 'full_ft' AND a.method <> 'full_ft' AND a.cnt > 1 AND b.cnt > 1)
-    SELECT task_name, model_name, n, method, {r("difference")} AS difference,
-      {r("difference / nullif(sqrt(v + w), 0)", 3)} AS t,
-      {r("(v + w) * (v + w) / nullif(v * v / (cnt - 1) + w * w / (base_cnt - 1), 0)", 3)} AS df
-    FROM faced""",
+      WHERE b.method = 'full_ft' AND a.method <> 'full_ft' AND a.cnt > 1 AND b.cnt > 1),
+      tested AS (SELECT *, difference / nullif(sqrt(v + w), 0) AS t,
+        (v + w) * (v + w) / nullif(v * v / (cnt - 1) + w * w / (base_cnt - 1), 0) AS df FROM faced),
+      {S.t_integral("tested", "task_name, model_name, n, method, difference, s.t, s.df")}
+    SELECT task_name, model_name, n, method, {r("difference")} AS difference, {r("t", 3)} AS t,
+      {r("df", 3)} AS df, {r("p")} AS p, {r("CASE WHEN p > 1e-300 THEN log10(p) END", 3)} AS log10_p
+    FROM tailed""",
 )
 def welch(spark, sf):
-    return rounded(Q.welch(V.runs(spark, sf)), t=3, df=3)
+    """p also by its logarithm, so that small ones are compared by their digits."""
+    found = Q.welch(V.runs(spark, sf))
+    return rounded(found.withColumn("log10_p", F.expr("if(p > 1e-300D, log10(p), null)")), t=3, df=3, log10_p=3)
 
 
 KEY = "method, model_name, task_name, train_subset_size, seed"
@@ -516,11 +676,17 @@ KEY = "method, model_name, task_name, train_subset_size, seed"
       SELECT {KEY}, max_by(primary_metric, run_dir) AS metric FROM runs GROUP BY {KEY}), paired AS (
       SELECT a.*, a.metric - b.metric AS difference FROM one a JOIN one b
       USING (model_name, task_name, train_subset_size, seed)
-      WHERE b.method = 'full_ft' AND a.method <> 'full_ft')
-    SELECT task_name, model_name, train_subset_size, method, count(*) AS n_pairs,
-      {r("avg(difference)")} AS mean_difference, {r("stddev_samp(difference)")} AS sd_difference,
-      {r("avg(CAST(difference > 0 AS DOUBLE))")} AS win_rate
-    FROM paired GROUP BY ALL""",
+      WHERE b.method = 'full_ft' AND a.method <> 'full_ft'), summed AS (
+      SELECT task_name, model_name, train_subset_size, method, count(*) AS n_pairs,
+        avg(difference) AS mean_difference, stddev_samp(difference) AS sd_difference,
+        avg(CAST(difference > 0 AS DOUBLE)) AS win_rate
+      FROM paired GROUP BY ALL), tested AS (
+      SELECT *, mean_difference * sqrt(n_pairs) / nullif(sd_difference, 0) AS t,
+        CASE WHEN sd_difference > 0 THEN n_pairs - 1.0::DOUBLE END AS df FROM summed),
+      {S.t_integral("tested", "s.* EXCLUDE (t, df), s.t, s.df")}
+    SELECT task_name, model_name, train_subset_size, method, n_pairs, {r("mean_difference")} AS mean_difference,
+      {r("sd_difference")} AS sd_difference, {r("win_rate")} AS win_rate, {r("t", 3)} AS t, {r("df", 3)} AS df,
+      {r("p", 5)} AS p FROM tailed""",
 )
 def paired_by_seed(spark, sf):
-    return rounded(Q.paired_by_seed(V.runs(spark, sf)))
+    return rounded(Q.paired_by_seed(V.runs(spark, sf)), t=3, df=3, p=5)

@@ -1,6 +1,7 @@
 """Run records and results: sources, sinks, flattening, configs, validation, the grid."""
 
 import dataclasses
+import itertools
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from curvekit.operators import config as P
 from curvekit.operators import flatten as P1
 from curvekit.operators import grid as E
 from curvekit.operators.curves import learning_curve
+from curvekit.operators.keys import key_lattice
 from curvekit.plans.analysis import aggregate_runs
 from curvekit.session import scratch_path
 from curvekit.sources import readers, writers
@@ -42,6 +44,24 @@ def scan_run_files(spark, sf):
     )
 
 
+@query(
+    "s1_one_object_per_file",
+    """SELECT 'supplier-' || s_suppkey AS run_dir, 'nation' || s_nationkey AS method, s_suppkey AS seed,
+      round(s_acctbal, 6) + 0.0 AS primary_metric FROM supplier""",
+)
+def one_object_per_file(spark, sf):
+    """A folder and a file for every supplier's record, scanned as whole files."""
+    root = scratch_path(spark, "run-records")
+    records = V.table(spark, sf, "supplier").selectExpr(
+        "concat('supplier-', s_suppkey) as run_dir",
+        "named_struct('method', concat('nation', s_nationkey), 'seed', s_suppkey) as config",
+        "named_struct('eval_primary_metric', s_acctbal, 'name', s_name) as eval_metrics",
+    )
+    writers.write_run_records(records, root)
+    found = P1.flatten_runs(readers.scan_runs(spark, f"{root}/metrics", "*/part-*.json"))
+    return rounded(found.select("run_dir", "method", "seed", "primary_metric"))
+
+
 FLAT = f"""WITH {S.RUN_JSON} SELECT run_dir, method, NULL::VARCHAR AS model_name,
   NULL::VARCHAR AS task_name, seed, train_subset_size, primary_metric_name,
   {r("value")} AS primary_metric, NULL::BIGINT AS trainable_parameters,
@@ -378,3 +398,29 @@ def run_counts(spark, sf):
 )
 def methods_in_order(spark, sf):
     return E.methods_in_order(V.runs(spark, sf), "run_dir")
+
+
+KEY_COLUMNS = ["method", "model_name", "task_name", "train_subset_size", "seed", "l_orderkey"]
+
+
+def _lattice_sql():
+    """Every subset counted on its own, and keys found by comparing all pairs of subsets."""
+    subsets = [c for size in range(1, len(KEY_COLUMNS) + 1) for c in itertools.combinations(KEY_COLUMNS, size)]
+    counted = " UNION ALL ".join(
+        f"SELECT '{'+'.join(c)}' AS columns, {sum(1 << KEY_COLUMNS.index(x) for x in c)} AS bits, {len(c)} AS n_columns, "
+        f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM kept)) AS n_unique"
+        for c in subsets
+    )
+    return f"""WITH {S.RUNS}, kept AS MATERIALIZED (SELECT {", ".join(KEY_COLUMNS)} FROM runs),
+    counted AS ({counted}), judged AS (
+      SELECT *, n_unique = (SELECT max(n_unique) FROM counted) AS is_key FROM counted)
+    SELECT columns, CAST(n_columns AS INTEGER) AS n_columns, n_unique,
+      (SELECT count(*) FROM kept) - n_unique AS n_surplus, is_key,
+      is_key AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.is_key AND b.bits <> a.bits AND (b.bits & a.bits) = b.bits) AS is_minimal,
+      n_unique = 700 AS matches FROM judged a"""
+
+
+@query("e3_minimal_keys", _lattice_sql())
+def minimal_keys(spark, sf):
+    """Unique counts of all subsets of the columns, the minimal keys, and the subset behind a count of 700."""
+    return key_lattice(V.runs(spark, sf), KEY_COLUMNS, unique=700)

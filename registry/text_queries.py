@@ -11,7 +11,7 @@ from curvekit.session import scratch_path
 from curvekit.sources import readers
 from registry import check_sql as S
 from registry import views as V
-from registry.catalog import query
+from registry.catalog import query, r, rounded
 
 LENGTH = 128
 SPLIT = r"'[^ \t\n\r\f]+'"
@@ -192,6 +192,29 @@ def pad_and_mask(spark, sf):
     )
 
 
+@query(
+    "tx8_token_budget",
+    f"""WITH {RANKED}, sized AS (
+      SELECT task, example_id, len({WORDS}) AS n_tokens FROM texts),
+    counted AS (
+      SELECT task, seed, CAST(size AS BIGINT) AS train_subset_size, count(*) AS effective_n,
+        CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(least(n_tokens, {LENGTH})) AS BIGINT) AS kept_tokens,
+        count(*) FILTER (n_tokens > {LENGTH}) AS cut_texts
+      FROM ranked JOIN (VALUES {", ".join(f"({n})" for n in fv.ENCODER_SIZES)}) z(size) ON place <= size
+      JOIN sized USING (task, example_id) GROUP BY task, seed, size)
+    SELECT task, seed, train_subset_size, effective_n, n_tokens, kept_tokens,
+      {r("cut_texts / effective_n")} AS cut_text_share,
+      {r("(n_tokens - kept_tokens) / nullif(n_tokens, 0)")} AS cut_token_share,
+      {r(f"1 - kept_tokens / (effective_n * {LENGTH})")} AS padding_share FROM counted""",
+)
+def token_budget(spark, sf):
+    """Tokens are counted for the placed texts of the training split; ids alone are ranked."""
+    train = _train(spark, sf)
+    places = D.placed(train, fv.ENCODER_SEEDS, max(fv.ENCODER_SIZES))
+    counted = TX.tokenise(train, "text_a", LENGTH)
+    return rounded(TX.token_budget(counted, places, fv.ENCODER_SIZES, LENGTH))
+
+
 def _spelled(df):
     """Array columns as text, so that they can be compared."""
     return df.select(

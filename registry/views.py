@@ -55,6 +55,13 @@ def method_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supplier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by supplier, so that there are many groups of runs; reads lineitem only."""
+    return _line_runs(table(spark, sf_dir, "lineitem")).select(
+        "l_suppkey", "method", "train_subset_size", "primary_metric"
+    )
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole run rows: lineitem with its order (task) and customer (seed).
 

@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from curvekit.operators import curves as H
 
@@ -65,3 +67,39 @@ def test_a_null_key_counts_at_levels_that_do_not_use_it(spark):
         "method string, architecture string, train_subset_size bigint, primary_metric double")
     got = {(r.level, r.method, r.architecture): r.cnt for r in H.learning_curve_levels(runs).collect()}
     assert got == {("method", "lora", None): 2, ("method+architecture", "lora", "encoder"): 1}
+
+
+def test_exact_curve_has_the_same_bits_however_it_is_partitioned(spark):
+    draw = random.Random(4)
+    metrics = [draw.choice([draw.random(), draw.gauss(0, 1e9), draw.gauss(0, 1e-9), 0.1, -0.0, None, float("nan")]) for _ in range(4000)]
+    rows = [(f"m{draw.randrange(3)}", 50 * draw.randrange(1, 3), x) for x in metrics]
+    runs = spark.createDataFrame(rows, "method string, train_subset_size long, primary_metric double")
+    seen = set()
+    for partitions in (1, 7, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            curve = H.exact_learning_curve(runs.repartition(partitions, F.rand(partitions)))
+            seen.add(tuple(sorted((r.method, r.n, r.mean.hex(), r.std.hex(), r.cnt) for r in curve.collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(seen) == 1
+    for method, n, mean, std, cnt in seen.pop():
+        values = [x for m, s, x in rows if m == method and s == n and x is not None and not math.isnan(x)]
+        assert cnt == len(values)
+        assert float.fromhex(mean) == pytest.approx(math.fsum(values) / cnt, rel=1e-14)
+        centre = math.fsum(values) / cnt
+        want = math.sqrt(math.fsum((x - centre) ** 2 for x in values) / (cnt - 1))
+        assert float.fromhex(std) == pytest.approx(want, rel=1e-12)
+
+
+def test_exact_curve_of_few_and_odd_values(spark):
+    rows = [("one", 50, 0.25), ("none", 50, None), ("none", 50, float("nan")), ("inf", 50, float("inf")), ("inf", 50, 0.5),
+            ("zero", 50, 0.0), ("zero", 50, 0.0), ("tiny", 50, 1e-300), ("huge", 50, 1e300), ("huge", 50, 1e300), (None, 50, 0.1), ("x", None, 0.1)]
+    runs = spark.createDataFrame(rows, "method string, train_subset_size long, primary_metric double")
+    got = {r.method: (r.mean, r.std, r.cnt) for r in H.exact_learning_curve(runs).collect()}
+    assert got.pop("tiny")[0] == pytest.approx(0, abs=1e-299)
+    assert got == {
+        "one": (0.25, None, 1), "none": (None, None, 0), "inf": (0.5, None, 1), "zero": (0.0, 0.0, 2),
+        "huge": (1e300, 0.0, 2),
+    }
+    assert H.exact_learning_curve(runs.where("false")).count() == 0
