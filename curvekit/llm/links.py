@@ -113,6 +113,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(map_slices(with_sets(pairs, sets), work, "a long, b long, linked boolean"), "confirmed")
 
 
+def popular_centres(entries: DataFrame, centres: DataFrame) -> DataFrame:
+    """centres(key, pivot) with each pivot replaced by the one that most groups have, of the groups it is in itself.
+
+    Groups of entries(key, node) overlap, so one pivot can serve many of them: any set near the group will do.
+    """
+    centres = materialize(centres.select("key", "pivot"), "centres")
+    groups = centres.groupBy("pivot").agg(F.count(F.lit(1)).alias("groups"))
+    own = centres.select(F.col("pivot").alias("node")).distinct()
+    near = entries.select("key", "node").join(own, "node").join(centres, "key").join(groups, "pivot")
+    best = F.max(F.struct("groups", F.xxhash64("pivot").alias("h"), "pivot"))["pivot"].alias("better")
+    better = near.groupBy(F.col("node").alias("pivot")).agg(best)
+    return centres.join(better, "pivot").select("key", F.col("better").alias("pivot"))
+
+
 def differences_from_centre(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows (a, b) of a node and its pivot with linked, n, p_n and the shingles that only one has: added (a's) and removed (b's)."""
 

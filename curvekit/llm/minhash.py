@@ -26,6 +26,7 @@ from curvekit.llm.links import (
     differences_from_centre,
     gather_sets,
     pairs_by_differences,
+    popular_centres,
     set_digest,
     shingle_sets,
 )
@@ -229,7 +230,8 @@ def _link(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
     pairs = _pairs_of_small(small, percent)
     edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     if not large.isEmpty():
-        met = large.select("key", F.col("node").alias("a")).join(_centres(large), "key")
+        centres = popular_centres(large, _centres(large))
+        met = large.select("key", F.col("node").alias("a")).join(centres, "key")
         met = materialize(met.select("a", F.col("pivot").alias("b")).where("a != b").distinct(), "minhash-met")
         differences = differences_from_centre(met, sets, percent)
         edges = edges.union(differences.where("linked").select("a", "b"))
