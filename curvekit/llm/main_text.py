@@ -32,10 +32,18 @@ ASIDE = frozenset("head nav aside footer form button select menu dialog object a
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies "
     "consent gdpr notice notices alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer comment comments commentlist discussion replies reply respond disqus share sharing social "
+    "breadcrumbs footer comment comments commentlist discussion feedback replies reply respond disqus share sharing social "
     "related recommended recommendations newsletter subscribe subscription signup login search pagination pager "
-    "widget toolbar copyright disclaimer complementary contentinfo".split()
+    "widget widgets toolbar copyright disclaimer complementary contentinfo".split()
 )
+# Words that say nothing by themselves: a label is a mark if all its words are hints or these, and one is a hint.
+NEUTRAL = frozenset(
+    "site page global main top bottom left right primary secondary user users reader readers post article entry "
+    "box boxes area block section bar banner list item items container wrapper wrap inner outer panel group row col "
+    "column content text title header heading link links button buttons icon icons form thread js the my sticky fixed "
+    "mobile desktop small large slot unit region footer wide first last".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Names of a page's own head; inside an article they hold its title.
 HEADS = frozenset("header site-header page-header top-header main-header global-header masthead banner topbar".split())
 # An article with one of these classes is no main article.
@@ -52,8 +60,19 @@ _DEFAULT = {
 }
 
 
+def _words(label: str) -> list[str]:
+    """Words of a class, id or role, without numbers: names of several adverts count as one."""
+    label = re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()
+    found = [re.sub(r"[0-9]+$", "", w) for w in re.split(r"[^a-z0-9]+", label)]
+    return ["advert" if w.startswith(("advert", "adsby", "adbox", "adslot", "adunit", "adspace")) else w for w in found if w]
+
+
 def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is something else than main text, by its name, class, id or role."""
+    """Whether an element is something else than main text, by its name, class, id or role.
+
+    A label marks only as a whole: each of its words must be a hint or neutral, so that side-effects and
+    related-work are not marks. The id of a heading is the place that links point to, and no mark.
+    """
     if tag in ASIDE or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body"):
@@ -62,19 +81,18 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
         name = m[1].lower()
         if name == "hidden":
             return True
-        if name not in ("class", "id", "role"):
+        if name not in ("class", "id", "role") or (name == "id" and tag in HEADINGS):
             continue
         for label in (m[2] or m[3] or m[4] or "").split():
-            label = re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()
+            words = _words(label)
             if tag in CONTENT:
-                if label in SMALL:
+                if "-".join(words) in SMALL:
                     return True
                 continue
-            words = re.split(r"[^a-z0-9]+", label)
-            if label in HEADS:
+            if "-".join(words) in HEADS:
                 if not inside:
                     return True
-            elif (words[0] in HINTS or words[-1] in HINTS) and words[0] not in ("has", "with", "no", "without"):
+            elif any(w in HINTS for w in words) and all(w in HINTS or w in NEUTRAL for w in words):
                 return True
     return False
 
@@ -90,19 +108,41 @@ def _matches(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def _end_of(found: list, at: int) -> int:
-    """Index behind the end of the element that opens at `at`.
+# Elements whose end tag may be left out, and the opening tags that end them. A paragraph ends at any block.
+IMPLIED = {
+    "p": BLOCKS - {"br", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"},
+    "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"},
+}
+_STRUCTURE = (BLOCKS | {"td", "th", "html"}) - {"p", "br", "hr"}
+
+
+def _end_of(found: list, at: int, around: dict[str, int]) -> int:
+    """Index behind the end of the element that opens at `at`; `around` counts the open elements that it is in.
 
-    An element that is never closed stops where an article or the main element opens or
-    closes, or at the end of the page.
+    It ends at its end tag, where a tag implies its end, and at latest where an element around it closes. An
+    element of which nothing around it ever closes stops where an article or the main element opens.
     """
-    tag, depth = found[at][1], 0
-    for i in range(at, len(found)):
-        if found[i][1] == tag and found[i][0] != "text":
-            depth += 1 if found[i][0] == "open" else -1
-            if not depth:
-                return i + 1
-    return next((i for i in range(at + 1, len(found)) if found[i][0] != "text" and found[i][1] in CONTENT), len(found))
+    tag, stack, article = found[at][1], [found[at][1]], 0
+    for i in range(at + 1, len(found)):
+        kind, value, _ = found[i]
+        if kind == "open" and value not in VOID:
+            while stack and value in IMPLIED.get(stack[-1], ()):
+                stack.pop()
+            if not stack:
+                return i
+            if value in CONTENT and not article:
+                article = i
+            stack.append(value)
+        elif kind == "close":
+            if value in stack:
+                while stack.pop() != value:
+                    pass
+                if not stack:
+                    return i + 1
+            elif value in _STRUCTURE and around.get(value, 0) > 0:
+                return article or i
+    return article or len(found)
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
@@ -111,12 +151,16 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     kind is "text", "open" or "close"; the tags of the outermost article or main element itself count
     as outside, those nested in it as inside.
     """
-    found, out, article, at = _matches(page), [], 0, 0
+    found, out, article, at, around = _matches(page), [], 0, 0, {}
     while at < len(found):
         kind, value, attrs = found[at]
-        if kind == "open" and value not in VOID and _marked(value, attrs, article > 0):
-            at = _end_of(found, at)
-            continue
+        if kind == "open" and value not in VOID:
+            if _marked(value, attrs, article > 0):
+                at = _end_of(found, at, around)
+                continue
+            around[value] = around.get(value, 0) + 1
+        elif kind == "close":
+            around[value] = max(0, around.get(value, 0) - 1)
         if kind != "text" and value in CONTENT:
             after = article + 1 if kind == "open" else max(0, article - 1)
             out.append((kind, value, min(article, after) > 0))
@@ -199,16 +243,21 @@ def extract(page: str, weights: dict[str, float]) -> str:
         total += score
         if total > best:
             best, first, last = total, start, i + 1
-    blocks, block = [], []
+    blocks, block, linked, plain = [], [], 0, False
     for kind, value, inside in found[first:last]:
         if kind == "text":
             block.append(value)
+            plain |= inside or (not linked and not value.isspace())
         elif value in BLOCKS:
-            blocks.append(block)
-            block = []
+            blocks.append((block, plain))
+            block, plain = [], False
         elif value in ("td", "th"):
             block.append(" ")
-    texts = (" ".join(html.unescape("".join(b)).split()) for b in [*blocks, block])
+        elif value == "a":
+            linked = kind == "open"
+    blocks.append((block, plain))
+    # Where the page marks its article, blocks of nothing but links beside it are ways to other pages.
+    texts = (" ".join(html.unescape("".join(b)).split()) for b, plain in blocks if plain or not marked)
     return "\n".join(t for t in texts if t)
 
 
