@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvekit.llm.common import map_slices, process_memo
-from curvekit.llm.tokens import MEMO_ENTRIES, read_file
+from curvekit.llm.tokens import MEMO_CHARS, MEMO_ENTRIES, read_file
 from curvekit.session import materialize
 
 # Fixed values of the base rules.
@@ -109,8 +109,9 @@ class _Measurer:
         if asked:
             ids = self.model.encode([w.decode() for w in asked], num_threads=1)
             new = {w: np.array(x, "<u4").tobytes() for w, x in zip(asked, ids)}
-            if len(known) + len(new) <= MEMO_ENTRIES:
-                known.update(new)
+            short = {w: ids for w, ids in new.items() if len(w) <= MEMO_CHARS}
+            if len(known) + len(short) <= MEMO_ENTRIES:
+                known.update(short)
         return [new[w] if w in new else known[w] for w in words]
 
     def __call__(self, part) -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvekit.llm.common import map_slices, process_memo
-from curvekit.llm.tokens import MEMO_ENTRIES, read_file
+from curvekit.llm.tokens import MEMO_CHARS, MEMO_ENTRIES, read_file
 
 # Fixed values of the format: the white-space marker, and how far unknown characters lie below
 # the worst piece.
@@ -32,8 +32,7 @@ class DoubleArray:
     def __init__(self, keys: list[bytes]):
         order = sorted(range(len(keys)), key=lambda i: keys[i])
         ordered = [keys[i] for i in order]
-        size = 64 * (sum(map(len, keys)) + len(keys)) + 2 * _END  # more than ever needed; cut below
-        size = min(size, 1 << 22)
+        size = 4 * _END  # the arrays grow as slots are used
         used, base, check = bytearray(size), [0] * size, [-1] * size
         used[0], check[0], top, work = 1, 0, _END + 1, [(0, 0, len(keys), 0)]
         while work:
@@ -49,6 +48,9 @@ class DoubleArray:
                 i = j
             least = min(c for c, _, _ in groups)
             at = max(_END + 1, top - self.REACH)
+            if top + self.REACH + 2 * _END > len(used):
+                more = len(used) + self.REACH + 2 * _END
+                used, base, check = used + bytes(more), base + [0] * more, check + [-1] * more
             while True:
                 at = used.find(0, at)
                 if not any(used[at - least + c] for c, _, _ in groups):
@@ -130,9 +132,11 @@ class Encoder:
         missing = list({w for words in cut for w in words if w not in known})
         if missing:
             extra = dict(zip(missing, self.best([MARK + w for w in missing])))
-            if len(known) + len(extra) <= MEMO_ENTRIES:
-                known.update(extra)
-                extra = {}
+            short = {w: ids for w, ids in extra.items() if len(w) <= MEMO_CHARS}
+            if len(known) + len(short) <= MEMO_ENTRIES:
+                known.update(short)
+                if len(short) == len(extra):
+                    extra = {}
         if not extra:
             return [b"".join([known[w] for w in words]) for words in cut]
         return [b"".join([extra[w] if w in extra else known[w] for w in words]) for words in cut]
@@ -192,24 +196,31 @@ class Encoder:
                 np.concatenate([piece, np.full(len(none), -1)]).astype(np.int64))
 
     def _paths(self, raw: list[bytes]) -> list[bytes]:
-        """Viterbi over all words in step: the k-th step relaxes what starts at their k-th byte."""
+        """Viterbi over all parts of words in step: the k-th step relaxes what starts at their k-th byte."""
         v = self.v
         lengths = np.array([len(r) for r in raw], np.int64)
-        stops = np.cumsum(lengths)
-        begins = stops - lengths
+        last_of_word = np.cumsum(lengths)
         data = np.frombuffer(b"".join(raw), np.uint8)
-        left, right, piece = self._edges(data, np.repeat(stops, lengths))
-        word = np.repeat(np.arange(len(raw)), lengths)
+        left, right, piece = self._edges(data, np.repeat(last_of_word, lengths))
+        # A word falls into parts where no piece crosses: a long one, as of a script without spaces, into many.
+        crossing = np.bincount(left + 1, minlength=len(data) + 1) - np.bincount(right, minlength=len(data) + 1)
+        whole = np.cumsum(crossing)[: len(data)] == 0
+        whole &= (data & 0xC0) != 0x80
+        whole[last_of_word - lengths] = True
+        begins = np.flatnonzero(whole)
+        stops = np.append(begins[1:], len(data))
+        lengths = stops - begins
+        word = np.repeat(np.arange(len(begins)), lengths)
         step = left - begins[word[left]]
         order = np.argsort(step, kind="stable")
         left, right, piece, step = left[order], right[order], piece[order], step[order]
         gain = np.where(piece >= 0, v.scores[piece], v.worst)
-        # A place per byte end, and a word's begin is the place before its first byte; words
+        # A place per byte end, and a part's begin is the place before its first byte; parts
         # lie one place apart so that their ends and begins differ.
         shift = word
         source, target = left + shift[left], right + shift[right - 1]
-        best = np.full(len(data) + len(raw), -np.inf)
-        best[begins + np.arange(len(raw))] = 0.0
+        best = np.full(len(data) + len(begins), -np.inf)
+        best[begins + np.arange(len(begins))] = 0.0
         back = np.full(len(best), -1, np.int64)
         bounds = np.flatnonzero(np.diff(step)) + 1
         for a, b in zip(np.concatenate([[0], bounds]), np.append(bounds, len(step))):
@@ -218,10 +229,10 @@ class Encoder:
             better = reached > best[t]
             best[t[better]] = reached[better]
             back[t[better]] = np.flatnonzero(better) + a
-        # All words' best paths from their ends back, one edge at a time.
-        at, mine = stops + np.arange(len(raw)), np.arange(len(raw))
+        # All parts' best paths from their ends back, one edge at a time.
+        at, mine = stops + np.arange(len(begins)), np.arange(len(begins))
         path, owner = [], []
-        first = begins + np.arange(len(raw))
+        first = begins + np.arange(len(begins))
         while len(mine):
             edge = back[at]
             path.append(edge)
@@ -242,7 +253,8 @@ class Encoder:
             ids = np.where(spread, v.unknown, ids)
         else:
             ids[spread] = v.bytes[data[(left[flat] + offset)[spread]]]
-        bytes_, ends = ids.astype("<u4").tobytes(), np.cumsum(np.bincount(np.repeat(owner, count), minlength=len(raw))) * 4
+        per_part = np.cumsum(np.bincount(np.repeat(owner, count), minlength=len(begins)))
+        bytes_, ends = ids.astype("<u4").tobytes(), per_part[np.searchsorted(stops, last_of_word)] * 4
         return [bytes_[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 

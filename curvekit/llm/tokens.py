@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from curvekit.llm.common import process_memo
 
-MEMO_ENTRIES = 400_000
+#: Entries of a memo, and the longest text of one: some 60 MB at most.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 32
 _UNSAFE = re.compile(r"\s ")  # a space behind white space: no safe place to cut
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BLANK = re.compile(r"\s|^$")
@@ -38,13 +39,11 @@ class MemoEncoder:
         if missing:
             asked = list(missing)
             extra = dict(zip(asked, self.encode_new([p[1] if type(p) is tuple else " " + p for p in asked])))
-            room = MEMO_ENTRIES - len(known)
-            if room >= len(extra):
-                known.update(extra)
+            short = [p for p in asked if len(p[1] if type(p) is tuple else p) <= MEMO_CHARS]
+            for p in short[: max(0, MEMO_ENTRIES - len(known))]:
+                known[p] = extra[p]
+            if len(short) == len(asked) and asked[-1] in known:
                 extra = {}
-            elif room > 0:
-                for p in asked[:room]:
-                    known[p] = extra[p]
         if not extra:
             return [b"".join([known[p] for p in pieces]) for pieces in cut]
         return [b"".join([extra[p] if p in extra else known[p] for p in pieces]) for pieces in cut]
