@@ -171,6 +171,23 @@ def test_marked_pages_other_than_one_lone_article(content, want):
     assert main_text.extract(f"<html><body>{content}</body></html>", FITTED) == want
 
 
+@pytest.mark.parametrize(("content", "want"), [
+    ("<article><p class=notice>Site notice<p>real text of the page</article>", "real text of the page"),
+    ("<article><ul><li class=share>Share<li>good item<li>another</ul><p>end</article>", "good item\nanother\nend"),
+    ("<article><div class=notice>Never closed<p>inside</article><p>behind</p>", "behind"),
+    ("<article><table><tr><td class=ad>Buy<td>cell<tr><td>next</table></article>", "cell\nnext"),
+    ("<article><dl><dt class=promo>Deal<dd>kept</dl>words</article>", "kept\nwords"),
+    ('<article><h2 id="login">Login</h2><section id="related-work"><p>Work of others</p></section><div class="side-effects">Effects</div><p class="notice-period">Three months</p></article>',
+     "Login\nWork of others\nEffects\nThree months"),
+    ('<article><p>Text</p><div class="user-comments-list">I say so</div><div class="reader-feedback">Fine</div><ins class="adsbygoogle">Buy</ins><div class="advertbox">Buy</div><div class="banner-ad2">Buy</div><div id="adSlot3">Buy</div></article>', "Text"),
+    (f"<article><p>{LONG}</p></article><div><a>Next</a> <a>Prev</a></div><article><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    ("<article><p>See</p><ul><li><a>first link</a><li><a>second</a></ul></article>", "See\nfirst link\nsecond"),
+    ("<nav><ul><li>Menu</ul></nav><article>text <b class=ad>x</b> more</article>", "text more"),
+])
+def test_marks_and_ends_of_elements(content, want):
+    assert main_text.extract(f"<html><body>{content}</body></html>", FITTED) == want
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<p></p>", "<", "<<<>>>", "<!-- open", "<script>x", "<nav>menu only", "&nbsp;"])
 def test_pages_without_text(page):
     assert main_text.extract(page, {}) in ("", "<<", "<", "<<<>>>", ">>")
