@@ -26,8 +26,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 LEAST_CANDIDATE = 16
 # What the Markov models look at: runs of these characters.
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_CANDIDATE},}}={{0,2}}")
-# Public formats of random-looking strings that are no secrets: a UUID.
-PUBLIC = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+# Strings that are no secrets whatever their characters: a UUID, and one to four characters repeated.
+PUBLIC = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(.{1,4}?)\1{3,}.{0,3}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _CODE = np.full(128, len(SYMBOLS), np.int64)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
