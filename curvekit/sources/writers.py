@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from curvekit import fixed_values as fv
+from curvekit.schema import RUN_KEY
 from curvekit.session import materialize
 
 DOCUMENT_ENTRIES = 10_000
@@ -44,6 +45,32 @@ def write_results_table(
     results.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def write_run_table(
+    results: DataFrame,
+    table: str,
+    path: str,
+    by: Sequence[str] = ("task_name", "model_name", "train_subset_size"),
+    buckets: int = 64,
+) -> DataFrame:
+    """Results as a table in buckets of `by`, sorted in each, with its files at `path`; returns the table.
+
+    Whatever groups, ranks or joins runs by these columns and more, such as keeping one run per configuration or
+    pairing methods by seed, then needs no exchange: rows are shuffled once, here. One bucket holds whole
+    combinations of `by`; name more columns, such as the seed, where few combinations hold most of the runs.
+    """
+    order = [*by, *[c for c in RUN_KEY if c not in by and c in results.columns]]
+    (
+        results.repartition(buckets, *by)
+        .write.mode("overwrite")
+        .format("parquet")
+        .option("path", path)
+        .bucketBy(buckets, *by)
+        .sortBy(*order)
+        .saveAsTable(table)
+    )
+    return results.sparkSession.table(table)
+
+
 def fit_document(
     fits: DataFrame, crossovers: DataFrame, runs: DataFrame, order: str | None = None
 ) -> DataFrame:

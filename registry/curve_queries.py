@@ -17,6 +17,7 @@ from curvekit.sources import readers, writers
 from registry import check_sql as S
 from registry import views as V
 from registry.catalog import query, r, rounded
+from registry.run_queries import bucketed_runs
 
 
 def _analysis(spark, sf):
@@ -670,9 +671,7 @@ def welch(spark, sf):
 KEY = "method, model_name, task_name, train_subset_size, seed"
 
 
-@query(
-    "q2_paired_by_seed",
-    f"""WITH {S.RUNS}, one AS (
+PAIRED = f"""WITH {S.RUNS}, one AS (
       SELECT {KEY}, max_by(primary_metric, run_dir) AS metric FROM runs GROUP BY {KEY}), paired AS (
       SELECT a.*, a.metric - b.metric AS difference FROM one a JOIN one b
       USING (model_name, task_name, train_subset_size, seed)
@@ -686,7 +685,14 @@ KEY = "method, model_name, task_name, train_subset_size, seed"
       {S.t_integral("tested", "s.* EXCLUDE (t, df), s.t, s.df")}
     SELECT task_name, model_name, train_subset_size, method, n_pairs, {r("mean_difference")} AS mean_difference,
       {r("sd_difference")} AS sd_difference, {r("win_rate")} AS win_rate, {r("t", 3)} AS t, {r("df", 3)} AS df,
-      {r("p", 5)} AS p FROM tailed""",
-)
+      {r("p", 5)} AS p FROM tailed"""
+
+
+@query("q2_paired_by_seed", PAIRED)
 def paired_by_seed(spark, sf):
     return rounded(Q.paired_by_seed(V.runs(spark, sf)), t=3, df=3, p=5)
+
+
+@query("q2_paired_by_seed_from_buckets", PAIRED)
+def paired_by_seed_from_buckets(spark, sf):
+    return rounded(Q.paired_by_seed(bucketed_runs(spark, sf)), t=3, df=3, p=5)

@@ -12,6 +12,7 @@ from curvekit.operators import grid as E
 from curvekit.operators.curves import learning_curve
 from curvekit.operators.keys import key_lattice
 from curvekit.plans.analysis import aggregate_runs
+from curvekit.schema import RUN_KEY
 from curvekit.session import scratch_path
 from curvekit.sources import readers, writers
 from registry import check_sql as S
@@ -370,6 +371,21 @@ def keep_one_run(spark, sf):
     return E.deduplicate(V.runs(spark, sf).select(*LINE_KEY, "run_dir", "method"), LINE_KEY)
 
 
+@query(
+    "e3_keep_one_run_from_buckets",
+    f"""WITH {S.RUNS} SELECT {", ".join(RUN_KEY)}, max(run_dir) AS run_dir FROM runs GROUP BY {", ".join(RUN_KEY)}""",
+)
+def keep_one_run_from_buckets(spark, sf):
+    """One run per configuration over a table in buckets: nothing is shuffled to rank them."""
+    return E.deduplicate(bucketed_runs(spark, sf).select(*RUN_KEY, "run_dir"))
+
+
+def bucketed_runs(spark, sf):
+    path = scratch_path(spark, "run-table")
+    kept = V.runs(spark, sf).select(*RUN_KEY, "run_dir", "primary_metric")
+    return writers.write_run_table(kept, f"runs_{path.rsplit('-', 1)[1]}", path)
+
+
 @query(
     "f1_one_method_from_its_folder",
     f"""WITH {S.RUNS}, tagged AS (SELECT *, {TAG} AS architecture FROM runs)

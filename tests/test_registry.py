@@ -70,3 +70,9 @@ def test_off_grid_runs_are_filtered_without_a_shuffle_of_their_own(spark):
 def test_one_method_opens_only_its_folders(spark):
     text = plan(entry.queries()["f1_one_method_from_its_folder"](spark, SF_DIR))
     assert "PartitionFilters: [" in text and "(method" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("name", ["e3_keep_one_run_from_buckets", "q2_paired_by_seed_from_buckets"])
+def test_nothing_is_shuffled_over_buckets(spark, name):
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    assert "Exchange" not in text and "Bucketed: true" in text
