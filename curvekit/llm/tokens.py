@@ -1,7 +1,9 @@
 """Encoding by public tokenizers, text pieces seen before kept in a bounded memo."""
 
 import re
+from collections import ChainMap
 from collections.abc import Callable
+from itertools import chain
 
 from curvekit.llm.common import process_memo
 
@@ -10,6 +12,9 @@ MEMO_ENTRIES, MEMO_CHARS = 400_000, 32
 _UNSAFE = re.compile(r"\s ")  # a space behind white space: no safe place to cut
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BLANK = re.compile(r"\s|^$")
+#: A mark of its own behind a letter or digit and in front of a single space or the end: the pattern always cuts there.
+_STOP = re.compile(r"(?<=[A-Za-z0-9])([,.;:!?])(?= \S|\Z)")
+_LONE = "\x02"  # in front of a mark that stands for itself, without a space
 
 
 def read_file(path: str) -> bytes:
@@ -32,21 +37,23 @@ class MemoEncoder:
         self.encode_new = encode_new
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # A piece stands for its text without the space in front; others are keyed by ("", text).
+        # A piece stands for its text without the space in front; others are keyed by ("", text) or begin with _LONE.
         cut = [self.pieces(t) for t in texts]
-        known, extra = self.known, {}
-        missing = {p for pieces in cut for p in pieces if p not in known}
-        if missing:
-            asked = list(missing)
-            extra = dict(zip(asked, self.encode_new([p[1] if type(p) is tuple else " " + p for p in asked])))
+        known = self.known
+        asked = list(set(chain.from_iterable(cut)).difference(known))
+        if asked:
+            new = dict(zip(asked, self.encode_new([self.spelled(p) for p in asked])))
             short = [p for p in asked if len(p[1] if type(p) is tuple else p) <= MEMO_CHARS]
-            for p in short[: max(0, MEMO_ENTRIES - len(known))]:
-                known[p] = extra[p]
-            if len(short) == len(asked) and asked[-1] in known:
-                extra = {}
-        if not extra:
-            return [b"".join([known[p] for p in pieces]) for pieces in cut]
-        return [b"".join([extra[p] if p in extra else known[p] for p in pieces]) for pieces in cut]
+            known.update((p, new[p]) for p in short[: max(0, MEMO_ENTRIES - len(known))])
+            if not all(map(known.__contains__, asked)):
+                known = ChainMap(known, new)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    @staticmethod
+    def spelled(piece) -> str:
+        if type(piece) is tuple:
+            return piece[1]
+        return piece[1:] if piece[:1] == _LONE else " " + piece
 
     @staticmethod
     def pieces(text: str) -> list:
@@ -54,9 +61,13 @@ class MemoEncoder:
             return []
         if _UNSAFE.search(text):
             parts = _CUT.split(text)
+            if _LONE in text:
+                return [("", p) for p in parts]
             first = [("", parts[0])] if parts[0][:1] != " " else [parts[0][1:]]
             return first + [p[1:] for p in parts[1:]]
-        parts = text.split(" ")
+        if _LONE in text:  # pieces that begin with it are spelled out
+            return [("", p) if i == 0 else ("", " " + p) for i, p in enumerate(text.split(" ")) if i or p]
+        parts = _STOP.sub(rf" {_LONE}\1", text).split(" ")
         if parts[0]:
             parts[0] = ("", parts[0])
         else:
