@@ -82,8 +82,8 @@ def gather_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         return one
 
     texts = docs.join(wanted.select("name").distinct(), "name", "left_semi").select("text")
-    found = map_slices(texts, work, "digest binary, shingles binary").dropDuplicates(["digest"])
-    return materialize(found.join(wanted.select("digest", "node"), "digest").select("node", "shingles"), "sets")
+    found = map_slices(texts, work, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
+    return materialize(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
