@@ -96,7 +96,7 @@ def _unless(allowed: Sequence[str], column: str, what: str) -> Column:
     return F.when(~known, F.concat(F.lit(f"Unsupported {what}: "), shown))
 
 
-# The violation texts below.
+# The violation texts below, but for the one on regression, which is our own.
 def validate(configs: DataFrame) -> DataFrame:
     """Add `violations` (all broken rules in order) and `first_violation`.
 
