@@ -1,5 +1,6 @@
 """Writers: results, fit documents, run records, figure series."""
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -13,6 +14,8 @@ from curvekit.schema import RUN_KEY
 from curvekit.session import materialize
 
 DOCUMENT_ENTRIES = 10_000
+#: Runs whose folders one task makes. A folder costs far more than its few bytes, by which AQE would give all to one task.
+RUNS_PER_TASK = 50
 FIT_FIELDS = (
     "method", "a", "b", "c", "r2", "n_points", "sample_sizes", "error_rates", "fitted_values",
 )
@@ -160,8 +163,8 @@ def write_run_records(
 ) -> None:
     """Config and metrics of every run as JSON, one folder per run under two trees.
 
-    The records are computed once and spread by run, so a run's folder gets one file. Keys
-    are sorted at every level.
+    The records are computed once and spread by run, so a run's folder gets one file, over as many tasks as there
+    are RUNS_PER_TASK of them. Keys are sorted at every level.
     """
     ordered = records.select(
         *[
@@ -169,7 +172,8 @@ def write_run_records(
             for f in sorted(records.schema.fields, key=lambda f: f.name)
         ]
     )
-    spread = materialize(ordered.withColumn("run_id", F.col(run)), "records").repartition("run_id")
+    written = materialize(ordered.withColumn("run_id", F.col(run)), "records")
+    spread = written.repartition(max(1, math.ceil(written.count() / RUNS_PER_TASK)), "run_id")
     spread.select("run_id", "config.*").write.mode(mode).partitionBy("run_id").json(f"{root}/config")
     spread.select("run_id", *ordered.columns).write.mode(mode).partitionBy("run_id").json(f"{root}/metrics")
 

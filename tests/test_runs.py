@@ -288,3 +288,14 @@ def test_run_records_have_sorted_keys_and_can_be_written_again(spark, folder):
     text = lambda kind: [r.value for r in spark.read.text(f"{folder}/{kind}").collect()]
     assert text("config") == ['{"a_field":0.5,"method":"lora","seed":1}']
     assert text("metrics") == ['{"config":{"a_field":0.5,"method":"lora","seed":1},"eval_metrics":{"b":1.0},"run_dir":"r1"}']
+
+
+def test_folders_of_runs_are_made_by_many_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(writers, "RUNS_PER_TASK", 4)
+    records = spark.range(40).selectExpr(
+        "concat('r', id) as run_dir", "named_struct('seed', id) as config", "map('k', double(id)) as eval_metrics"
+    )
+    writers.write_run_records(records, folder)
+    for kind in ("config", "metrics"):
+        files = [name for _, _, names in os.walk(f"{folder}/{kind}") for name in names if name.startswith("part-")]
+        assert len(files) == 40 and len({name[:10] for name in files}) > 5
