@@ -46,3 +46,28 @@ def test_nothing_and_too_much(spark):
     assert {(r.columns, r.n_unique, r.n_surplus) for r in K.key_lattice(none, ["a", "b"]).collect()} == {("a", 0, 0), ("b", 0, 0), ("a+b", 0, 0)}
     with pytest.raises(ValueError):
         K.key_lattice(none, [f"c{i}" for i in range(13)])
+
+
+@pytest.mark.parametrize("part", [1, 9, 1000])
+def test_lattice_counted_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(K, "FEW_CELLS", 5)
+    monkeypatch.setattr(K, "PART_CELLS", part)
+    draw = random.Random(part)
+    columns, nan = ["a", "b", "c", "d"], float("nan")
+    values = ([None, *"stu"], [None, *range(40)], [None, 0.0, -0.0, nan, 1.5], [None, b"x", b"y"])
+    # Column b has one value in most rows, which is more than a part.
+    rows = [tuple(draw.choice(v) if i != 1 or draw.random() < 0.6 else 7 for i, v in enumerate(values)) for _ in range(300)]
+    table = spark.createDataFrame(rows, "a string, b int, c double, d binary")
+    found = K.key_lattice(table, columns).collect()
+    plain = [tuple("nan" if x != x else x for x in r) for r in rows]
+    assert {r.columns: (r.n_unique, r.n_surplus, r.is_key, r.is_minimal) for r in found} == brute_force(plain, columns)
+
+
+def test_many_cells_are_not_multiplied_by_the_subsets(spark, monkeypatch):
+    monkeypatch.setattr(K, "FEW_CELLS", 50)
+    multiplied = []
+    counted = K._counted_in_cells
+    monkeypatch.setattr(K, "_counted_in_cells", lambda cells, columns, subsets: multiplied.append(cells.count()) or counted(cells, columns, subsets))
+    rows = spark.range(2000).selectExpr("id % 900 as a", "id % 7 as b", "id % 3 as c", "id % 2 as d")
+    found = {r.columns: r.n_unique for r in K.key_lattice(rows, ["a", "b", "c", "d"]).collect()}
+    assert max(multiplied) <= 50 and found["a+b"] == len({(i % 900, i % 7) for i in range(2000)}) and found["b+c+d"] == 42
