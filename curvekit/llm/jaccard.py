@@ -38,9 +38,9 @@ from curvekit.llm.links import (
 from curvekit.session import materialize
 
 WORDS, PERCENT = 3, 90
-#: Counters of shingle frequencies: a fixed number whatever the input. They order, they never decide. Of a large input
-#: only one set in so many is counted that the counters hold about one shingle each: frequent ones stand out at every size.
-SKETCH_BITS, SKETCH_BLOCKS, SHINGLE_CHARS = 24, 32, 6
+#: Counters of shingle frequencies: a fixed number whatever the input, in which every shingle of every row counts. They
+#: order, they never decide.
+SKETCH_BITS, SKETCH_BLOCKS = 24, 32
 #: Entries of a block that is compared whole.
 WHOLE = 16
 
@@ -53,30 +53,22 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def _one_in(docs: DataFrame) -> int:
-    """The share of sets whose shingles are counted, from the number of characters of all texts."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(1, math.ceil(chars / SHINGLE_CHARS / (1 << SKETCH_BITS)))
-
-
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, name, n and signature of each row; and the frequency counters of each task, in blocks."""
-    width, one_in = 1 << SKETCH_BITS, _one_in(docs)
 
     def run(batches):
-        counters = np.zeros(width, np.uint32)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 digests, n = [set_digest(s) for s in sets], len(sets)
-                counted = [s for s, d in zip(sets, digests) if int.from_bytes(d[:8], "big") % one_in == 0]
-                if counted:
-                    places = (np.concatenate(counted) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                if sets:
+                    places = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     np.add.at(counters, places, 1)
                 yield row(part.column("doc_id"), part.column("name"), [len(s) for s in sets], digests, [None] * n, [None] * n)
         if counters.any():
             for block, values in enumerate(np.split(counters, SKETCH_BLOCKS)):
-                yield row([None], [None], [None], [None], [block], [zlib.compress(np.minimum(values, 65535).astype("<u2").tobytes(), 1)])
+                yield row([None], [None], [None], [None], [block], [zlib.compress(values.astype("<u4").tobytes(), 1)])
 
     def row(ids, name, n, signature, block, counts):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
@@ -95,7 +87,7 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                values = np.frombuffer(zlib.decompress(raw), "<u2")
+                values = np.frombuffer(zlib.decompress(raw), "<u4")
                 total[block] = total.get(block, 0) + values.astype(np.uint64)
         for block, values in total.items():
             logs = np.minimum(8 * np.log2(values + 1.0), 255).astype(np.uint8)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from curvekit.llm import jaccard
@@ -143,3 +144,14 @@ def test_large_blocks_of_unlike_variants(spark, monkeypatch, whole):
 
 def test_prefix_length_is_exact():
     assert [jaccard.prefix_length(n) for n in (1, 9, 10, 11, 100)] == [1, 1, 2, 2, 11]
+
+
+def test_every_shingle_is_counted(spark, monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCKS", 2)
+    docs = spark.range(60).selectExpr("id as doc_id", "id as name", "concat_ws(' ', transform(sequence(1, 20), i -> string(id * 20 + i))) as text")
+    found = jaccard._signatures(docs, 3)
+    counts = [np.frombuffer(zlib.decompress(r.counts), "<u4").sum() for r in found.where("block is not null").select("counts").collect()]
+    assert sum(counts) == found.agg({"n": "sum"}).first()[0] == 60 * 18
