@@ -119,7 +119,8 @@ RESULT_ROWS = f"""WITH {S.RUNS} SELECT run_dir, method, model_name, task_name, s
 @query("s2_read_results", RESULT_ROWS)
 def read_results(spark, sf):
     path = scratch_path(spark, "results-json")
-    _results(spark, sf).write.json(path)
+    # Every row repeats all names: packed, the table takes a small part of the bytes.
+    _results(spark, sf).write.option("compression", "gzip").json(path)
     return rounded(readers.read_results(spark, path, json_lines=True))
 
 

@@ -8,6 +8,7 @@ from curvekit.operators import config as P
 from curvekit.operators import flatten as P1
 from curvekit.operators import grid as E
 from curvekit.plans.analysis import aggregate_runs
+from curvekit.schema import RESULTS
 from curvekit.sources import readers, writers
 
 
@@ -299,3 +300,13 @@ def test_folders_of_runs_are_made_by_many_tasks(spark, folder, monkeypatch):
     for kind in ("config", "metrics"):
         files = [name for _, _, names in os.walk(f"{folder}/{kind}") for name in names if name.startswith("part-")]
         assert len(files) == 40 and len({name[:10] for name in files}) > 5
+
+
+def test_results_are_packed_where_they_are_read_back(spark, folder, rows, monkeypatch):
+    from registry import run_queries as Q
+
+    results = spark.createDataFrame([("r1", "lora", "m", "t", 1, 50, "f1", 0.5, 7, 0.2), ("r2", None, "m", "t", 2, 50, None, None, None, 1.0)], RESULTS)
+    monkeypatch.setattr(Q, "_results", lambda spark, sf: results)
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, label: f"{folder}/{label}")
+    assert rows(Q.read_results(spark, "")) == rows(results)
+    assert {name[-3:] for name in os.listdir(f"{folder}/results-json") if name.startswith("part-")} == {".gz"}
