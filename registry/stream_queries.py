@@ -11,6 +11,8 @@ from registry.catalog import query, r, rounded
 from registry.curve_queries import CROSSED, PARAMETERS, PRECISION
 
 LINES = "*/part-*.json"
+#: Tasks that write the run records at most. A batch takes so many files, so more input makes larger files, not more batches.
+LANDING_TASKS = 32
 
 
 def _landing(spark, sf):
@@ -27,7 +29,7 @@ def _landing(spark, sf):
         F.struct("method", "seed", "train_subset_size").alias("config"),
         F.struct(F.col("primary_metric").alias("eval_primary_metric")).alias("eval_metrics"),
         F.col("method").alias("folder"),
-    ).write.partitionBy("folder").json(root)
+    ).coalesce(LANDING_TASKS).write.partitionBy("folder").json(root)
     return root
 
 
@@ -104,7 +106,7 @@ def _task_stream(spark, sf):
         F.struct("method", "seed", "train_subset_size", "task_name").alias("config"),
         F.struct(F.col("primary_metric").alias("eval_primary_metric")).alias("eval_metrics"),
         F.col("method").alias("folder"),
-    ).write.partitionBy("folder").json(root)
+    ).coalesce(LANDING_TASKS).write.partitionBy("folder").json(root)
     return W.stream_runs(spark, root, LINES, one_per_file=False, files_per_batch=8)
 
 

@@ -195,3 +195,20 @@ def test_names_are_remembered_for_ever_without_state(spark, folder):
         assert sorted(r.run_dir for r in W.unique_runs(spark, target).collect()) == sorted(seen)
         assert upserts.changed_in(spark, target, batch).count() == 3  # the copy of an old name is not written
     assert not os.path.exists(f"{state}/state")
+
+
+def test_more_input_makes_larger_files_not_more_batches(spark, folder, monkeypatch):
+    from registry import stream_queries as Q
+
+    runs = spark.range(0, 400, 1, 100).selectExpr(
+        "concat('r', id) as run_dir", "element_at(array('lora', 'full_ft'), int(id % 2) + 1) as method", "id as seed",
+        "50L as train_subset_size", "'rte' as task_name", "0.5D as primary_metric", "id as l_orderkey", "1 as l_linenumber",
+        "date'2020-01-01' as ordered",
+    )
+    monkeypatch.setattr(Q.V, "runs", lambda spark, sf: runs)
+    for i, land in enumerate((Q._landing, Q._task_stream)):
+        monkeypatch.setattr(Q, "scratch_path", lambda spark, label: f"{folder}/{label}-{i}")
+        land(spark, "")
+        written = f"{folder}/landing-{i}"
+        files = [name for _, _, names in os.walk(written) for name in names if name.startswith("part-")]
+        assert len(files) <= 2 * Q.LANDING_TASKS and spark.read.json(written).count() == 400
