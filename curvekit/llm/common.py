@@ -74,7 +74,20 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
 def process_memo(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by its tasks.
 
-    Only a memo of pure functions: losing it costs time, never a result.
+    Only a memo of pure functions: losing it costs time, never a result. A worker keeps one: it outlives the operator
+    it is for, and the memory of several would add up.
     """
+    held = _memos()
+    if name not in held:
+        held.clear()
+    return held.setdefault(name, {})
+
+
+def release_memos() -> None:
+    """Leave the memory of other operators' memos to a task that has none."""
+    _memos().clear()
+
+
+def _memos() -> dict[str, dict]:
     home = sys.modules.setdefault("_curvekit_memos", types.ModuleType("_curvekit_memos"))
-    return home.__dict__.setdefault(name, {})
+    return home.__dict__.setdefault("held", {})

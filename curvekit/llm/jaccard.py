@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvekit.llm.common import map_slices, slices
+from curvekit.llm.common import map_slices, release_memos, slices
 from curvekit.llm.links import (
     alternating_stars,
     confirmed,
@@ -57,6 +57,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, name, n and signature of each row; and the frequency counters of each task, in blocks."""
 
     def run(batches):
+        release_memos()
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch):
@@ -113,6 +114,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, words: int, percent: int
     shipped = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def work():
+        release_memos()
         rank = shipped.value
 
         def one(part):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvekit.llm.common import map_slices
+from curvekit.llm.common import map_slices, release_memos
 from curvekit.session import materialize
 
 #: Parts that a node's partners are dealt into, so that one with very many of them is no single task's.
@@ -75,6 +75,8 @@ def gather_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """
 
     def work():
+        release_memos()
+
         def one(part):
             sets = shingle_sets(part.column("text").to_pylist(), words)
             return {"digest": [set_digest(s) for s in sets], "shingles": [s.astype("<u8").tobytes() for s in sets]}

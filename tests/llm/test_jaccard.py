@@ -155,3 +155,14 @@ def test_every_shingle_is_counted(spark, monkeypatch):
     found = jaccard._signatures(docs, 3)
     counts = [np.frombuffer(zlib.decompress(r.counts), "<u4").sum() for r in found.where("block is not null").select("counts").collect()]
     assert sum(counts) == found.agg({"n": "sum"}).first()[0] == 60 * 18
+
+
+def test_a_worker_keeps_one_memo():
+    from curvekit.llm import common
+
+    common.process_memo("one")["a"] = 1
+    assert common.process_memo("one") == {"a": 1}
+    assert common.process_memo("two") == {} and common.process_memo("one") == {}
+    common.process_memo("one")["a"] = 1
+    common.release_memos()
+    assert common.process_memo("one") == {}
