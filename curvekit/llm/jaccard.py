@@ -4,7 +4,8 @@ A document's shingles are put in one global order, rare ones first. Two sets who
 similarity reaches the threshold share one of the first few shingles of each, so the product
 is formed over these only: a shingle's column is a block. Pairs are dropped whose sizes rule out
 the threshold, or whose places of the shared shingle do: what stands before the first shared
-one is missing in the other set; or whose parities differ in too many bits. For the rest
+one is missing in the other set; or whose parities differ in too many bits: first of 64 parts of the hashes, then, for
+pairs that are left, of about as many parts as a set has shingles. For the rest
 whole sets are intersected.
 
 No block is expanded into all its pairs. At first each document meets one pivot of its blocks, and blocks whose
@@ -30,6 +31,8 @@ from curvekit.llm.links import (
     confirmed,
     differences_from_centre,
     gather_sets,
+    likely_pairs,
+    odd_parts,
     pairs_by_differences,
     popular_centres,
     set_digest,
@@ -106,7 +109,7 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequencies: np.ndarray, words: int, percent: int) -> DataFrame:
-    """signature, parity and the first shingles in the global order (frequency class, hash) of each row.
+    """signature, parity, odd parts and the first shingles in the global order (frequency class, hash) of each row.
 
     parity has a bit for each of 64 parts of the hashes, set where the part holds an odd number of
     shingles: two sets differ in as many shingles at least as their parities in bits.
@@ -118,18 +121,19 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, words: int, percent: int
         rank = shipped.value
 
         def one(part):
-            signatures, parity, first = [], [], []
+            signatures, parity, odd, first = [], [], [], []
             for s in shingle_sets(part.column("text").to_pylist(), words):
                 signatures.append(set_digest(s))
                 parity.append(int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))).view(np.int64)) if len(s) else 0)
+                odd.append(odd_parts(s))
                 seldom = rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((s, seldom))[: prefix_length(len(s), percent)] if len(s) else []
                 first.append(s[order].view(np.int64).tolist() if len(s) else [])
-            return {"signature": signatures, "parity": parity, "first": first}
+            return {"signature": signatures, "parity": parity, "odd": odd, "first": first}
 
         return one
 
-    return map_slices(docs.select("text"), work, "signature binary, parity long, first array<bigint>")
+    return map_slices(docs.select("text"), work, "signature binary, parity long, odd binary, first array<bigint>")
 
 
 def _relabelled(table: DataFrame, column: str, labels: DataFrame) -> DataFrame:
@@ -195,7 +199,7 @@ def similar_documents(
     # Narrow rows are shuffled; what is known of a node joins what is left.
     places = prefixes.select("node", F.posexplode("first").alias("place", "block"))
     places = materialize(places.join(shared, "block"), "places")
-    entries = materialize(places.join(prefixes.drop("first"), "node"), "blocks")
+    entries = materialize(places.join(prefixes.drop("first", "odd"), "node"), "blocks")
     names = classes.select(F.col("signature").alias("digest"), "node", "name")
 
     def gather(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -207,7 +211,10 @@ def similar_documents(
         sets = gather_sets(chosen.select("name", "text"), wanted, words)
         return sets if known is None else known.union(sets)
 
-    labels, links, sets = _link(entries, gather, percent)
+    def likely(pairs: DataFrame) -> DataFrame:
+        return likely_pairs(pairs, prefixes, percent)
+
+    labels, links, sets = _link(entries, gather, likely, percent)
     numbers = _link_numbers(classes, labels, links, sets, percent) if count_links and links is not None else None
     result = _result(rows, classes, labels, numbers)
     return result if count_links else result.drop("n_links")
@@ -233,7 +240,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def _link(entries: DataFrame, gather, percent: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+def _link(entries: DataFrame, gather, likely, percent: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """(node, label) of the nodes in links, the links found, and the sets of all nodes that met another, or
     None three times where no block is shared."""
     if entries.isEmpty():
@@ -242,6 +249,7 @@ def _link(entries: DataFrame, gather, percent: int) -> tuple[DataFrame | None, D
     met = entries.join(_as_partners(pivots.select("block", "p.*")), "block").where(_may_link(percent))
     one = met.groupBy("node").agg(F.min(F.struct(F.xxhash64("p_node").alias("h"), "p_node")).alias("p"))
     pairs = materialize(one.select(F.col("node").alias("a"), F.col("p.p_node").alias("b")), "pairs")
+    pairs = materialize(likely(pairs), "likely-pairs")
     sets = gather(pairs)
     checked = confirmed(pairs, sets, percent)
     links = checked.where("linked").select("a", "b")
@@ -268,6 +276,7 @@ def _link(entries: DataFrame, gather, percent: int) -> tuple[DataFrame | None, D
         pairs = pairs.union(pairs_by_differences(differences, large.select("node", "class").distinct(), percent)).distinct()
     tested = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(likely(pairs), "likely-pairs")
     sets = gather(pairs, sets)
     links = links.union(confirmed(pairs, sets, percent).where("linked").select("a", "b"))
     links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

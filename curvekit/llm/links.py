@@ -68,10 +68,45 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def odd_parts(shingles: np.ndarray) -> bytes:
+    """Bits of a set: whether each of equal parts of the hashes holds an odd number of its shingles, about one part for a shingle."""
+    parts = 64 << max(0, (len(shingles) - 1).bit_length() - 6)
+    held = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_parts(a: bytes, b: bytes) -> int:
+    """In how many of odd_parts() two sets differ, in the coarser parts of the two: they differ in as many shingles at least."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=0) for raw in (a, b))
+    return int(np.unpackbits(x ^ y).sum())
+
+
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that odd_parts() do not rule out, from sketches(node, n, odd). Sets of n and m shingles that
+    are linked differ in (100 - percent) / (100 + percent) of n + m at most."""
+
+    def work():
+        def one(part):
+            columns = (part.column(c).to_pylist() for c in ("a", "b", "n", "p_n", "odd", "p_odd"))
+            kept = [
+                (a, b) for a, b, n, m, x, y in zip(*columns)
+                if (100 + percent) * differing_parts(x, y) <= (100 - percent) * (n + m)
+            ]
+            return {"a": [a for a, _ in kept], "b": [b for _, b in kept]}
+
+        return one
+
+    of_a = sketches.select(F.col("node").alias("a"), "n", "odd")
+    of_b = sketches.select(F.col("node").alias("b"), F.col("n").alias("p_n"), F.col("odd").alias("p_odd"))
+    return map_slices(pairs.select("a", "b").join(of_a, "a").join(of_b, "b"), work, "a long, b long")
+
+
 def gather_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node and full set (sorted 64-bit hashes) of wanted(name, digest, node), from the rows of docs(name, text) so named.
 
-    While the names are few the planner broadcasts them and only the texts wanted leave the scan.
+    While the names are few the planner broadcasts them and only the texts wanted leave the scan. Sets are moved once: rows
+    of one node have one digest, by which they are already dealt.
     """
 
     def work():
@@ -85,7 +120,7 @@ def gather_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     texts = docs.join(wanted.select("name").distinct(), "name", "left_semi").select("text")
     found = map_slices(texts, work, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
-    return materialize(found.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    return materialize(found.dropDuplicates(["digest", "node"]).select("node", "shingles"), "sets")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

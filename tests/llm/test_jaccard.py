@@ -157,6 +157,33 @@ def test_every_shingle_is_counted(spark, monkeypatch):
     assert sum(counts) == found.agg({"n": "sum"}).first()[0] == 60 * 18
 
 
+def test_odd_parts_never_exceed_the_difference():
+    from curvekit.llm import links
+
+    draw = np.random.default_rng(2)
+    for n, more, less in [(1, 0, 0), (1, 1, 1), (64, 3, 2), (65, 0, 5), (500, 40, 20), (2000, 90, 200), (3000, 3000, 3000)]:
+        a = np.unique(draw.integers(0, 2**63, n, np.uint64))
+        b = np.unique(np.concatenate([a[less:], draw.integers(0, 2**63, more, np.uint64)]))
+        if len(b):
+            assert links.differing_parts(links.odd_parts(a), links.odd_parts(b)) <= len(np.setxor1d(a, b))
+    assert links.differing_parts(links.odd_parts(a), links.odd_parts(b)) > 1000
+
+
+def test_sets_of_unlike_documents_stay(spark, monkeypatch):
+    """Long documents that share a passage only, all shingles being about as frequent: their pairs are ruled out before
+    whole sets are gathered."""
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCKS", 2)
+    gathered, draw = [], random.Random(9)
+    real = jaccard.gather_sets
+    monkeypatch.setattr(jaccard, "gather_sets", lambda *a: gathered.append((out := real(*a)).count()) or out)
+    rows = [(k, " ".join(f"w{draw.randrange(10**6)}" for _ in range(800)) + "".join(f" p{k // 2}.{i}" for i in range(60))) for k in range(60)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[0][1])]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k in (100, 101) else k for k, _ in rows}
+    assert sum(gathered) <= 4
+
+
 def test_a_worker_keeps_one_memo():
     from curvekit.llm import common
 
