@@ -110,13 +110,13 @@ def write_ids(
         keys, found, held, segment = [], [], 0, 0
         for batch in batches:
             for piece in slices(batch):
-                keys += piece.column("doc_id").to_pylist()
-                for raw in encode(piece.column("text").to_pylist()):
+                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text"))):
+                    keys.append(doc_id)
                     found.append(raw + end)
                     held += len(found[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield _segment(part, segment, keys, found)
-                    keys, found, held, segment = [], [], 0, segment + 1
+                    if held >= SEGMENT_IDS:
+                        yield _segment(part, segment, keys, found)
+                        keys, found, held, segment = [], [], 0, segment + 1
         if keys:
             yield _segment(part, segment, keys, found)
 

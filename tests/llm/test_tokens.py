@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from curvekit.llm import fertility, frames, pieces
+from curvekit.llm.common import release_memos
 from curvekit.llm.queries import BYTE_BPE, PIECES
 from curvekit.llm.tokens import MemoEncoder, byte_bpe_encoder, read_file
 
@@ -32,6 +33,48 @@ def test_byte_bpe_equals_the_library():
         assert [ids_of(r) for r in encode(TEXTS)] == [whole.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_only_unknown_runs_go_to_the_tokenizer():
+    """Words known from elsewhere are not asked for again because of marks, digits or line ends at them."""
+    release_memos()
+    encode, asked = byte_bpe_encoder(read_file(BYTE_BPE)), []
+    new = encode.encode_new
+    encode.encode_new = lambda pieces: asked.extend(pieces) or new(pieces)
+    encode(["Zorbel grunwick"])
+    assert {"Zorbel", " grunwick"} <= set(asked) <= set(encode.known)
+    asked.clear()
+    encode(["Zorbel, grunwick.\nZorbel 42% grunwick,\nZorbel42 grunwick%"])
+    assert not any("grunwick" in p for p in asked) and set(asked) <= {",", ".", "\n", " Zorbel", " 42", "42", "%"}
+
+
+def test_runs_of_all_kinds_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    draw = random.Random(3)
+    parts = ["a", "the", "Zorbel", " ", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "é", "İ", "ʰ", "\u0301", "漢", "ー", "١", "½", "23", "-", ".", ",", "<",
+             "<|endoftext|>", "|>", "_", "#%", "\x02", "\x1c", "\x85", "\xa0", "\u2028", "И", "ω", "가", "゛", "µ", "×", "\0", "\U0001F600"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(3000)]
+    whole, encode = Tokenizer.from_file(BYTE_BPE), byte_bpe_encoder(read_file(BYTE_BPE))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids_of(r) for r in encode(texts)] == want
+    assert [ids_of(r) for t in texts for r in encode([t])] == want
+
+
+def test_other_cutters_get_whole_pieces():
+    """A vocabulary whose pattern is another one: pieces are not taken apart."""
+    import json
+
+    made = json.loads(read_file(BYTE_BPE))
+    made["added_tokens"].append(made["added_tokens"][0] | {"id": 50257, "content": "[x1]"})
+    raw = json.dumps(made).encode()
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_str(raw.decode()), byte_bpe_encoder(raw)
+    texts = ["a [x1] b", "[x1]", "is[x1]it, x1.\nNext [x1", "two  [x1] spaces"]
+    assert [ids_of(r) for r in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr("curvekit.llm.tokens.MEMO_ENTRIES", 2)
     encode = MemoEncoder("test", lambda new: [p.encode() for p in new])
@@ -71,6 +114,14 @@ def test_files(spark, awkward, folder, monkeypatch, segment):
     assert [r["ids"] for r in sorted(frames.read_ids(spark, f"{folder}/ids").collect(), key=by_start)] == [w[4] for w in want]
 
 
+def test_segments_have_about_as_many_ids_as_they_should(spark, folder, monkeypatch):
+    monkeypatch.setattr(frames, "SEGMENT_IDS", 100)
+    rows = spark.createDataFrame([(i, "one two three") for i in range(400)], "doc_id long, text string").coalesce(1)
+    frames.write_ids(rows, f"{folder}/ids", BYTE_BPE, 2)
+    sizes = [sum(r["doc_lengths"]) for r in spark.read.parquet(f"{folder}/ids").collect()]
+    assert sum(sizes) == 1600 and max(sizes) <= 100 + 4
+
+
 def test_no_files_for_an_empty_table(spark, nothing, folder):
     frames.write_ids(nothing, f"{folder}/ids", BYTE_BPE, 2)
     assert frames.read_ids(spark, f"{folder}/ids").collect() == []
