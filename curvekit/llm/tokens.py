@@ -26,6 +26,7 @@ _RUN = rf" ?(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)"
 _RUNS = rf"\A ?[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*\n?\z"
 _SINGLE = re.compile(_RUN)
 _BEHIND = "\x02"  # behind each run
+_TEXT = pa.large_string()
 
 
 def read_file(path: str) -> bytes:
@@ -50,7 +51,7 @@ class MemoEncoder:
         self.apart = apart
 
     def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
-        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = texts.cast(_TEXT) if isinstance(texts, pa.Array) else pa.array(texts, _TEXT)
         odd = pc.match_substring_regex(column, _UNSAFE)
         plain = iter(self.by_words(column.filter(pc.invert(odd))))
         spaced = iter(self.by_pieces(column.filter(odd).to_pylist()))
@@ -65,13 +66,13 @@ class MemoEncoder:
         coded, first = words.dictionary_encode(), words.take(pa.array(bounds[:-1])).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         codes[bounds[:-1]] = first.indices.to_numpy().astype(np.int64) + len(coded.dictionary)
-        spelled = pc.binary_join_element_wise("", coded.dictionary, " ")
+        spelled = pc.binary_join_element_wise(pa.scalar("", _TEXT), coded.dictionary, pa.scalar(" ", _TEXT))
         return self.joined(pa.concat_arrays([spelled, first.dictionary]), codes, bounds)
 
     def by_pieces(self, texts: list[str]) -> list[bytes]:
         """Cuts where a non-space is in front of the space."""
         cut = [_CUT.split(t) for t in texts]
-        coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        coded = pa.array(list(chain.from_iterable(cut)), _TEXT).dictionary_encode()
         return self.joined(coded.dictionary, coded.indices.to_numpy(), np.cumsum([0, *map(len, cut)]))
 
     def joined(self, pieces: pa.Array, codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:

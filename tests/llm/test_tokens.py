@@ -4,9 +4,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from curvekit.llm import fertility, frames, pieces
+from curvekit.llm import fertility, frames, pieces, tokens
 from curvekit.llm.common import release_memos
 from curvekit.llm.queries import BYTE_BPE, PIECES
 from curvekit.llm.tokens import MemoEncoder, byte_bpe_encoder, read_file
@@ -43,7 +44,7 @@ def test_only_unknown_runs_go_to_the_tokenizer():
     assert {"Zorbel", " grunwick"} <= set(asked) <= set(encode.known)
     asked.clear()
     encode(["Zorbel, grunwick.\nZorbel 42% grunwick,\nZorbel42 grunwick%"])
-    assert not any("grunwick" in p for p in asked) and set(asked) <= {",", ".", "\n", " Zorbel", " 42", "42", "%"}
+    assert not any("grunwick" in p for p in asked) and set(asked) <= {"", ",", ".", "\n", " Zorbel", " 42", "42", "%"}
 
 
 def test_runs_of_all_kinds_equal_the_library():
@@ -59,6 +60,20 @@ def test_runs_of_all_kinds_equal_the_library():
     want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert [ids_of(r) for r in encode(texts)] == want
     assert [ids_of(r) for t in texts for r in encode([t])] == want
+    for kind in (pa.string(), pa.large_string()):
+        assert [ids_of(r) for r in encode(pa.array(texts, kind)[1:])] == want[1:]
+
+
+def test_kinds_of_characters_are_those_of_the_pattern():
+    import re
+
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(BYTE_BPE).pre_tokenizer.pre_tokenize_str
+    letters = re.findall(f"[{tokens._LETTERS}]", "".join(map(chr, range(0xD800))))
+    assert len(letters) > 30_000 and len(cut(" ".join(f"a{c}a" for c in letters))) == len(letters)
+    marks = re.findall(f"[{tokens._MARKS}]", "".join(map(chr, range(128))))
+    assert len(marks) == 30 and len(cut(" ".join(f"a{c}{c}b1{c}" for c in marks))) == 5 * len(marks)
 
 
 def test_other_cutters_get_whole_pieces():
